@@ -64,7 +64,7 @@ def test_mix(spark):
     assert (out.taken == out.copies * out["size"]).all() and out.copies.between(0, 2).all()
     for _, g in out.groupby("source", dropna=False):
         assert g.source_size.iloc[0] == g["size"].sum()
-        assert abs(g.taken.sum() - g.target.iloc[0]) <= 60
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5 * g["size"].max() + 1
     again = mixing.mix(docs(spark).repartition(7), block=100).toPandas()
     key = ["doc_id", "source", "size", "taken"]
     assert out[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))

@@ -27,6 +27,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Documents in a flight block: bounds a task's rows.
 BLOCK = 20_000
+#: Units that each block hands on to the next level undecided, besides the two that its flight leaves.
+HOLD = 256
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...], share: Fraction, most: int) -> dict:
@@ -104,7 +106,7 @@ def landing(size: np.ndarray, p: np.ndarray, due: float) -> np.ndarray:
     for j, k in enumerate(open_):
         out[k] = best >> j & 1
     miss = due - chosen(best)
-    for _ in range(4):
+    for _ in range(200):
         yes, no = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
         if abs(miss) < 1 or not len(yes) or not len(no):
             break
@@ -132,12 +134,15 @@ _STATE = T.StructType(
 )
 
 
-def _fly(last: bool):
+def _fly(last: bool, hold: int):
+    """hold: units of each block that wait for the next level, so that the last block has enough to land well."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
         size, p = pdf["size"].to_numpy(), pdf["p"].to_numpy()
         seed = int(pdf["order"].iloc[0]) * 31 + int(pdf["src"].iloc[0])
-        out = flight(size, p, _random(seed))
+        fly = len(p) if last else max(0, len(p) - hold)
+        out = np.concatenate([flight(size[:fly], p[:fly], _random(seed)), p[fly:]])
         if last:
             done = np.isin(out, (0.0, 1.0))
             # The landing makes up for the size that is due to the units still open.
@@ -152,7 +157,7 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
     """units(doc_id, src int, size long, order long, p double in (0, 1)) with p moved to 0 or 1.
 
     Balanced within each src on the count and on the sum of sizes. Levels of flights: each level's blocks hold about
-    `block` units of one src; what stays fractional (two a block) goes on to the next level.
+    `block` units of one src; what stays fractional (two a block and HOLD that wait) goes on to the next level.
     """
     ship(units.sparkSession)
     state, done = units, []
@@ -164,7 +169,7 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
             if n > block:
                 spread = F.when(F.col("src") == src, F.lit(-(-n // block))).otherwise(spread)
         keyed = state.withColumn("blk", F.pmod(F.xxhash64("order", F.lit(len(done))), spread.cast("long")))
-        state = materialize(keyed.groupBy("src", "blk").applyInPandas(_fly(last), _STATE))
+        state = materialize(keyed.groupBy("src", "blk").applyInPandas(_fly(last, min(HOLD, block // 8)), _STATE))
         if last:
             done.append(state)
             break
