@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, wavelet
+from . import mixing, packing, quality, wavelet
 
-_MODULES = (mixing, packing, wavelet)
+_MODULES = (mixing, packing, quality, wavelet)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
