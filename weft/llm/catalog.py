@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, secrets, wavelet
+from . import chat, html, mixing, packing, quality, secrets, wavelet
 
-_MODULES = (mixing, packing, quality, chat, wavelet, secrets)
+_MODULES = (mixing, packing, quality, html, chat, wavelet, secrets)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
