@@ -13,13 +13,28 @@ import re
 import numpy as np
 
 #: White space as the tokenizer's patterns know it (Unicode White_Space).
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters, and marks after which a new piece begins in both kinds of vocabulary: a run of letters that marks or white
+#: space follow is a piece by itself.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?*#$%&|"
+_WORD, _TAIL = rf"[{_LETTERS}]++(?![^{_SPACE}{_MARKS}])", rf"(?<=[{_LETTERS}])[{_MARKS}]++(?![^{_SPACE}])"
 #: How a text falls into chunks. "spaced": a word keeps the one space before it, runs of white space stay by
 #: themselves but for that space (byte-level vocabularies). "bare": white space counts for nothing.
 CHUNKS = {
-    "spaced": re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"),
-    "bare": re.compile(rf"[^{_SPACE}]+"),
+    "spaced": re.compile(rf" ?{_WORD}|{_TAIL}| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"),
+    "bare": re.compile(rf"{_WORD}|{_TAIL}|[^{_SPACE}]+"),
 }
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: a printable byte stands for itself, the others count up from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
 #: Chunks that a worker remembers, and ids of chunks; all are forgotten when either is reached.
 REMEMBERED, REMEMBERED_IDS = 800_000, 6_000_000
 
@@ -44,6 +59,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.find, self.end_id = Tokenizer.from_file(path), CHUNKS[chunks].findall, end_id
+        self.model, self.lower = self.library.model, chunks == "bare"
         self._forget()
 
     def _forget(self) -> None:
@@ -53,11 +69,26 @@ class Encoder:
         self.starts, self.sizes, self.chunks = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 1
         self.sizes[0] = 1
 
+    def _encode(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk. A run of letters is one piece for certain, and goes straight to the library's model."""
+        out: list[list[int]] = [[]] * len(chunks)
+        rest = []
+        for i, c in enumerate(chunks):
+            if _PLAIN(c):
+                c = c.lower() if self.lower else c
+                piece = c if c.isascii() and c[0] != " " else c.encode().decode("latin-1").translate(_BYTES)
+                out[i] = [t.id for t in self.model.tokenize(piece)]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.library.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def _learn(self) -> None:
         """Encode the new chunks, a few thousand at a time."""
         new, self.known.new = self.known.new, []
         for at in range(0, len(new), 4096):
-            ids = [e.ids for e in self.library.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
+            ids = self._encode(new[at : at + 4096])
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
             while self.filled + len(flat) > len(self.flat):
