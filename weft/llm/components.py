@@ -1,0 +1,30 @@
+"""Connected components of a graph given as a table of edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(u, v) -> (node, label), the label being the least node of the component; only nodes with edges.
+
+    Each round a node takes the least label around it, and then its label's label, so paths halve. Rounds are written
+    to the shared folder. A node with very many edges is a hot join key on one side only, which adaptive execution
+    splits; labels are minima, so they are added up before they are shuffled."""
+    both = edges.where("u <> v").select("u", "v")
+    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    while True:
+        around = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"))
+        best = labels.join(around.agg(F.min("label").alias("near")), "node").select(
+            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
+        )
+        up = best.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        jumped = best.join(up, "label").select("node", "old", F.least("label", "higher").alias("label"))
+        jumped = materialize(jumped)
+        labels = jumped.select("node", "label")
+        if jumped.where("old <> label").isEmpty():
+            return labels
