@@ -242,5 +242,16 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document as often as the mix takes it (rows equal in id, text and source as one group)."""
+    key = F.xxhash64("doc_id", "text", "source")
+    copies = mix(docs.select(key.alias("doc_id"), "text", "source"))
+    copies = copies.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("weft_copies"))
+    copies = copies.where("weft_copies > 0").withColumnRenamed("doc_id", "weft_key")
+    kept = docs.withColumn("weft_key", key).join(copies, "weft_key").dropDuplicates(["weft_key"])
+    again = F.explode(F.sequence(F.lit(1), F.col("weft_copies"))).alias("weft_copy")
+    return kept.select(*docs.columns, again).drop("weft_copy")
+
+
 QUERIES = {"op1_cube_mix": op1_cube_mix}
 SQL: dict[str, str] = {}

@@ -205,5 +205,10 @@ def op2_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: pieces in windows, with their ids."""
+    return pack(docs, public_path("word_bpe_49k.json"))
+
+
 QUERIES = {"op2_min_slack_packing": op2_min_slack_packing}
 SQL: dict[str, str] = {}

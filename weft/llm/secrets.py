@@ -72,6 +72,20 @@ def _joined(spans: Column) -> Column:
     )
 
 
+def _find(text: Column) -> tuple[Column, Column]:
+    """(rule spans, candidate token spans that overlap none of them) of a text."""
+    rules = F.array_sort(F.concat(*(_spans(text, k, p, g, n) for k, (_, p, g, n) in enumerate(RULES))))
+    return rules, _spans(text, 3, TOKEN, 0, 20)
+
+
+def _clear(tokens: Column, rules: Column) -> Column:
+    return F.filter(
+        tokens,
+        lambda t: _random_looking(t["value"])
+        & ~F.exists(rules, lambda r: (r["start"] < t["end"]) & (t["start"] < r["end"])),
+    )
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -79,30 +93,31 @@ def scan(
     owner_col: str = "source",
     repo_cols: tuple[str, ...] = ("source", "lang"),
     owners: int = OWNERS,
+    carry: bool = False,
 ) -> DataFrame:
     """A row for each row of docs: doc_id, rules (its rule spans), added (its live-looking token spans), n_copied
-    (candidates left out as copied examples); spans are structs (start, kind, end, value) in order.
+    (candidates left out as copied examples); spans are structs (start, kind, end, value) in order. With carry, only
+    rows with a rule span or a candidate, and their whole row of docs as struct `doc`.
 
     Null text is empty. A null owner is an owner of its own. Repeated rows are scanned each, and as copies with one
     owner they do not make a value copied. An empty table gives no rows; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    rules, tokens = _find(F.coalesce(F.col(text_col), F.lit("")))
     repo = F.concat_ws("/", *(F.coalesce(F.col(c), F.lit("")) for c in repo_cols))
     found = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(owner_col), F.lit("\0")).alias("owner"),
         repo.alias("repo"),
         F.monotonically_increasing_id().alias("row"),
-        F.array_sort(F.concat(*(_spans(text, k, p, g, n) for k, (_, p, g, n) in enumerate(RULES)))).alias("rules"),
-        _spans(text, 3, TOKEN, 0, 20).alias("tokens"),
-    )
-    clear = F.filter(
-        "tokens",
-        lambda t: _random_looking(t["value"])
-        & ~F.exists("rules", lambda r: (r["start"] < t["end"]) & (t["start"] < r["end"])),
+        rules.alias("rules"),
+        tokens.alias("tokens"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []),
     )
+    found = found.withColumn("tokens", _clear(F.col("tokens"), F.col("rules")))
+    if carry:
+        found = found.where(F.size("rules") + F.size("tokens") > 0)
     # The text goes no further; row numbers are fixed by being written.
-    found = materialize(found.withColumn("tokens", clear))
+    found = materialize(found)
     hits = found.where(F.size("tokens") > 0).select("row", "owner", "repo", F.explode("tokens").alias("t"))
     hits = hits.withColumn("hash", F.sha2(F.col("t.value"), 256))
     held = hits.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
@@ -117,10 +132,41 @@ def scan(
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     return found.join(per_row, "row", "left").select(
-        "doc_id", "rules", F.coalesce("added", none).alias("added"), F.coalesce("n_copied", F.lit(0)).alias("n_copied")
+        "doc_id",
+        "rules",
+        F.coalesce("added", none).alias("added"),
+        F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        *(["doc"] if carry else []),
     )
 
 
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """text with every run of overlapping spans (sorted by start) replaced by one mark."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        out = F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    end = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
+    return F.aggregate(spans, start, step, end)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every rule span and every live-looking token is replaced by a mark, and n_chars follows."""
+    rules, tokens = _find(F.coalesce("text", F.lit("")))
+    flagged = docs.withColumns({"weft_rules": rules, "weft_tokens": tokens})
+    clean = (F.size("weft_rules") == 0) & (F.size(_clear(F.col("weft_tokens"), F.col("weft_rules"))) == 0)
+    found = scan(docs, carry=True).select("doc.*", F.array_sort(F.concat("rules", "added")).alias("weft_spans"))
+    found = found.withColumn("text", redact(F.col("text"), F.col("weft_spans")))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("weft_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return flagged.where(clean).select(*docs.columns).unionByName(found.select(*docs.columns))
+
+
 def _of(kind: int) -> Column:
     return F.size(F.filter("rules", lambda s: s["kind"] == kind)).cast("long")
 
