@@ -34,7 +34,9 @@ def jaro(a: Column, b: Column) -> Column:
         k = F.size(u).cast("double")
         ordered = F.array_sort(u)
         wrong = F.size(F.filter(F.arrays_zip(u.alias("x"), ordered.alias("y")), lambda z: F.get(cb, z["x"] - 1) != F.get(cb, z["y"] - 1)))
-        return F.when(k == 0, 0.0).otherwise((k / n + k / m + (k - wrong / 2) / k) / 3)
+        one = F.lit(1)  # instead of a zero that the branch above has dealt with
+        parts = k / F.greatest(n, one) + k / F.greatest(m, one) + (k - wrong / 2) / F.greatest(k, F.lit(1.0))
+        return F.when(k == 0, 0.0).otherwise(parts / 3)
 
     scored = F.get(F.transform(F.array(used), score), F.lit(0))
     return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(scored)
@@ -70,7 +72,7 @@ def token_subset(a: Column, b: Column) -> Column:
     ta, tb = tokens(a), tokens(b)
     inside = lambda x, y: F.forall(x, lambda t: F.array_contains(y, t))
     overlap = F.size(F.filter(ta, lambda t: F.array_contains(tb, t)))
-    widest = F.greatest(F.size(F.array_distinct(ta)), F.size(F.array_distinct(tb)))
+    widest = F.greatest(F.size(F.array_distinct(ta)), F.size(F.array_distinct(tb)), F.lit(1))
     score = F.least(F.lit(0.85) + F.lit(0.1) * (overlap / widest), F.lit(0.99))
     return F.when((F.size(ta) > 0) & (F.size(tb) > 0) & (inside(ta, tb) | inside(tb, ta)), score)
 
@@ -78,7 +80,7 @@ def token_subset(a: Column, b: Column) -> Column:
 def jw_possible(a: Column, b: Column) -> Column:
     """False only where Jaro-Winkler cannot exceed 0.9: Jaro is at most (2 + shorter / longer) / 3."""
     n, m = F.length(a), F.length(b)
-    top = (2 + F.least(n, m) / F.greatest(n, m)) / 3
+    top = (2 + F.least(n, m) / F.greatest(n, m, F.lit(1))) / 3
     p = common_prefix(F.lower(a), F.lower(b))
     return top + p * 0.1 * (1 - top) > 0.9 - 1e-9
 

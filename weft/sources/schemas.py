@@ -36,7 +36,7 @@ MERGE = _schema(("a", S, False), ("b", S, False), ("method", S, False), ("score"
 CLUSTERS = _schema(
     ("cluster_id", L, False),
     ("canonical_name", S, False),
-    ("all_mentions", T.ArrayType(S, False), False),
+    ("all_mentions", T.ArrayType(S), False),
 )
 GRAPH_CACHE = _schema(("id", L, False), ("built_at", TS, False), ("graph_json", S, False), ("stats_json", S, False))
 #: What an extractor must answer with.
