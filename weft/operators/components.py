@@ -9,7 +9,10 @@ from ..sources.shared import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(u, v) of any orderable type -> (node, label): the least node of each component. Loops do not count."""
+    """edges(u, v) of any orderable type -> (node, label): the least node of each component. Loops do not count.
+
+    Each round a node takes the least label around it, and then its label's label, so paths halve. A node with very
+    many edges is a hot join key on one side only, which adaptive execution splits; minima are taken before the shuffle."""
     both = edges.where("u <> v").select("u", "v")
     both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))

@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_root(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
+    """A new name under spark.checkpoint.dir; only where that is unset (one machine, tests) a temporary folder. What is
+    written there is removed when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # one machine, as in tests
-        root = "file://" + tempfile.mkdtemp(prefix="weft-")
+    if not root:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    path = f"{root.rstrip('/')}/weft-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended
+        return
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: a loop's lineage stays short, and survives lost executors."""
-    path = f"{shared_root(df.sparkSession)}/weft-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: lineage stays short, and survives lost executors."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
