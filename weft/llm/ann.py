@@ -134,7 +134,9 @@ def search(
 
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     routed = materialize(asked.mapInArrow(route, "query_id long, query array<double>, cells binary"))
-    row_blocks, query_blocks = -(-total // ROW_BLOCK), max(1, -(-routed.count() // QUERY_BLOCK))
+    # Small inputs still give every core a block of rows.
+    row_blocks = max(-(-total // ROW_BLOCK), min(-(-total // 512), spark.sparkContext.defaultParallelism))
+    query_blocks = max(1, -(-routed.count() // QUERY_BLOCK))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = F.xxhash64("vec_id", F.monotonically_increasing_id())
     left = indexed.withColumn("rb", F.pmod(own, F.lit(row_blocks)).cast("int")).withColumn("qb", each(query_blocks))
