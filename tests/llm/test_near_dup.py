@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from weft.llm import near_dup as nd
-from weft.llm.components import components
+from weft.operators.components import components
 
 
 def distance(a, b):
@@ -104,7 +104,7 @@ def brute(rows):
     return [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("small", [16, 2])
+@pytest.mark.parametrize("small", [12, 2])
 def test_classes(spark, monkeypatch, small):
     monkeypatch.setattr(nd, "SMALL", small)
     rows = fixture()

@@ -7,7 +7,6 @@ import io
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -16,6 +15,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (binds pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import cut as materialize  # noqa: F401
+from ..sources.shared import new_folder as shared_dir  # noqa: F401
+
 #: Bytes of text handled together by the numpy kernels; bounds a worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
 
@@ -24,37 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/weft-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended
-        return
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's modules, once for each SparkContext."""
     sc = spark.sparkContext

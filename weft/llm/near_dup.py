@@ -8,9 +8,10 @@ diagonals, and are near-duplicates if the edits between their words are at most
 0.8). Classes are the connected components of these links.
 
 Exact copies are one node throughout. In a bucket all nodes are first compared to one of them; buckets whose nodes all
-have one class by then are done. Of the others, those of at most SMALL nodes compare all pairs of different classes,
-and larger ones fall apart by a second sketch, a third and so on: texts that only share a frequent passage part
-company, texts that are alike stay together. No bucket is dropped or cut.
+have one class by then are done. Of the others, those of at most SMALL nodes compare all pairs of different classes.
+What is left are texts that share frequent passages: their runs are counted, and each text is bucketed by the BOTTOM
+runs of least hash among those that it shares with at most RARE texts, so these buckets are bounded and compare all
+pairs. Texts that are mostly frequent passages are also compared to the SMALL next ones of like length in their bucket.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read, ship, slices
-from .components import components
+from ..operators.components import components
 
 SHINGLE, SKETCHES, KEPT = 5, 32, 2
 #: Sketches whose buckets come first, to settle large classes cheaply.
 FIRST = 6
-#: Nodes up to which a bucket compares all pairs; how often a larger one falls apart, and by how many sketches each time.
-SMALL, DEPTH, SPREAD = 16, 4, 8
+#: Nodes up to which a bucket compares all pairs.
+SMALL = 12
+#: Texts that share a run at most for it to tell them apart, and how many of these runs bucket a text.
+RARE, BOTTOM = 24, 12
 #: Two texts of n and m words are near-duplicates if EDITS * edits <= max(n, m).
 EDITS = 5
 
@@ -70,14 +73,21 @@ def word_keys(values: list[bytes]) -> list[np.ndarray]:
     return [keys[p] for p in parts]
 
 
+def runs(words: np.ndarray) -> np.ndarray:
+    """uint64 of each run of SHINGLE words; a shorter text is one run."""
+    m = max(1, len(words) - SHINGLE + 1)
+    run = np.zeros(m, np.uint64)
+    for k in range(min(SHINGLE, len(words))):
+        run = _scramble(run * np.uint64(31) + words[k : k + m].astype(np.uint64) + np.uint64(k + 1))
+    return run
+
+
 def sketch(words: np.ndarray) -> np.ndarray:
     """SKETCHES bucket keys (int64) of a text; none for a text without words."""
     if not len(words):
         return np.zeros(0, np.int64)
-    m = max(1, len(words) - SHINGLE + 1)
-    run = np.zeros(m, np.uint64)
-    for k in range(min(SHINGLE, len(words))):
-        run = _scramble(run * np.uint64(31) + words[k : k + m] + np.uint64(k + 1))
+    run = runs(words)
+    m = len(run)
     order = np.argsort(run, kind="stable")
     same = run[order]
     first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
@@ -214,7 +224,7 @@ def _verify(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def _mixed(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Entries (key, depth, node) of buckets with two classes or more, with label, the bucket's least one (low, and
+    """Entries (key, node) of buckets with two classes or more, with label, the bucket's least one (low, and
     lead, its least node) and its number of nodes."""
     if labels is None:
         named = entries.withColumn("label", F.col("node"))
@@ -227,6 +237,38 @@ def _mixed(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(each, "key")
 
 
+def _all_pairs(found: DataFrame) -> DataFrame:
+    """Pairs of different classes of each bucket; buckets of the same nodes count once."""
+    sets = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("all")).select("all").distinct()
+    first = sets.select("all", F.posexplode("all").alias("i", "x"))
+    later = F.filter(F.slice("all", F.col("i") + 2, F.size("all")), lambda y: y["label"] != F.col("x.label"))
+    return first.select(F.col("x.node").alias("u"), F.explode(later).alias("y")).select("u", F.col("y.node").alias("v"))
+
+
+def _shared_runs(seqs: DataFrame) -> DataFrame:
+    """(node, run, n, words): the runs of each text with the number of these texts that hold it."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words = [np.frombuffer(x, "<u2") for x in part.column(1).to_pylist()]
+                found = [np.unique(runs(w)).view(np.int64) for w in words]
+                sizes = [len(f) for f in found]
+                yield pa.record_batch(
+                    [
+                        pa.array(np.repeat(part.column(0).to_numpy(), sizes)),
+                        pa.array(np.concatenate(found)),
+                        pa.array(np.repeat([len(w) for w in words], sizes)),
+                    ],
+                    ["node", "run", "words"],
+                )
+
+    rows = materialize(seqs.select("node", "seq").mapInArrow(run, "node long, run long, words long"))
+    held = rows.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    return materialize(rows.join(held, "run"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, h, class_id) for every row of docs(doc_id, text, ...): h is the md5 of the text, class_id the least
     doc_id of the row's class.
@@ -245,8 +287,8 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     entries = materialize(entries.join(shared, "key"))
     met = entries.select("node").distinct()
-    one = materialize(one.join(met, "node", "left_semi"))
-    seqs, keys = one.select("node", "seq"), one.select("node", "keys")
+    one = materialize(one.select("node", "seq").join(met, "node", "left_semi"))
+    seqs = one.select("node", "seq")
     labels, tested = None, None
 
     def settle(pairs: DataFrame) -> None:
@@ -274,32 +316,25 @@ def classes(docs: DataFrame) -> DataFrame:
         labels = materialize(known.unionByName(fresh))
 
     star = lambda m: m.where("label <> low").select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v"))
-    settle(star(_mixed(entries.where(F.col("sketch") < FIRST), labels)))
-    level = entries.select("key", "sketch", "node")
-    for depth in range(DEPTH + 1):
-        found = materialize(_mixed(level, labels))
-        if found.isEmpty():
-            break
-        few = found.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("label", "node")).alias("all"))
-        few = few.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))  # SMALL each
-        few = few.where("x.node < y.node AND x.label <> y.label").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        many = found.where(F.col("n") > SMALL)
-        settle(few.unionByName(star(many)))
-        if many.isEmpty():
-            break
-        left = _mixed(many.select("key", "sketch", "node"), labels)
-        if depth == DEPTH:
-            # Sketches no longer tell these apart: they agree in DEPTH + 1 of them. Chain every node to the SMALL next.
-            ranked = left.select("key", "node", F.row_number().over(_by_size()).alias("r"))
-            after = ranked.select("key", F.col("node").alias("v"), F.explode(F.sequence(F.col("r") - SMALL, F.col("r") - 1)).alias("r"))
-            near = ranked.join(after, ["key", "r"]).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
-            settle(near)
-            break
-        step = F.explode(F.sequence(F.lit(1), F.lit(SPREAD)))
-        left = left.select("key", "sketch", "node", step.alias("step")).join(keys, "node")
-        other = F.pmod(F.col("sketch") + F.col("step") + F.lit(SPREAD * depth), F.lit(SKETCHES)).cast("int")
-        finer = F.xxhash64("key", "step", F.element_at("keys", other + 1))
-        level = materialize(left.select(finer.alias("key"), "sketch", "node").distinct())
+    settle(star(_mixed(entries.where(F.col("sketch") < FIRST).select("key", "node"), labels)))
+    found = materialize(_mixed(entries.select("key", "node"), labels))
+    many = found.where(F.col("n") > SMALL)
+    settle(_all_pairs(found.where(F.col("n") <= SMALL)).unionByName(star(many)))
+    left = materialize(_mixed(many.select("key", "node"), labels))
+    if not left.isEmpty():
+        held = _shared_runs(seqs.join(left.select("node").distinct(), "node", "left_semi"))
+        least = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("run"), "run"))  # of one text's runs
+        rare = held.where(F.col("n") <= RARE).withColumn("r", least).where(F.col("r") <= BOTTOM)
+        settle(_all_pairs(_mixed(rare.select(F.col("run").alias("key"), "node"), labels)))
+        often = held.groupBy("node").agg(F.count_if(F.col("n") > RARE).alias("often"), F.max("words").alias("words"))
+        often = often.where(2 * F.col("often") >= F.col("words") - SHINGLE + 1).select("node", "words")
+        ranked = _mixed(left.select("key", "node").join(often.select("node"), "node"), labels).join(often, "node")
+        order = Window.partitionBy("key").orderBy("words", "node")
+        ranked = materialize(ranked.select("key", "node", "label", F.row_number().over(order).alias("r")))
+        back = F.explode(F.sequence(F.col("r") - SMALL, F.col("r") - 1)).alias("r")
+        after = ranked.select("key", F.col("node").alias("v"), F.col("label").alias("v_label"), back)
+        near = ranked.join(after, ["key", "r"]).where("label <> v_label")
+        settle(near.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")))
     out = rows.select("doc_id", "h").join(texts.select("h", "node"), "h")
     if labels is None:
         return out.select("doc_id", "h", F.col("node").alias("class_id"))
@@ -307,12 +342,6 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "h", F.coalesce("label", "node").alias("class_id"))
 
 
-def _by_size():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("node")
-
-
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"))
