@@ -41,7 +41,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self):
         self.keys: list[int] = []
@@ -246,7 +246,7 @@ def _all_pairs(found: DataFrame) -> DataFrame:
 
 
 def _shared_runs(seqs: DataFrame) -> DataFrame:
-    """(node, run, n, words): the runs of each text with the number of these texts that hold it."""
+    """(node, run): the runs of each text that others of these texts hold, RARE in all at most."""
 
     def run(batches):
         for batch in batches:
@@ -254,19 +254,12 @@ def _shared_runs(seqs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 words = [np.frombuffer(x, "<u2") for x in part.column(1).to_pylist()]
                 found = [np.unique(runs(w)).view(np.int64) for w in words]
-                sizes = [len(f) for f in found]
-                yield pa.record_batch(
-                    [
-                        pa.array(np.repeat(part.column(0).to_numpy(), sizes)),
-                        pa.array(np.concatenate(found)),
-                        pa.array(np.repeat([len(w) for w in words], sizes)),
-                    ],
-                    ["node", "run", "words"],
-                )
+                nodes = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+                yield pa.record_batch([pa.array(nodes), pa.array(np.concatenate(found))], ["node", "run"])
 
-    rows = materialize(seqs.select("node", "seq").mapInArrow(run, "node long, run long, words long"))
-    held = rows.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-    return materialize(rows.join(held, "run"))
+    rows = materialize(seqs.select("node", "seq").mapInArrow(run, "node long, run long"))
+    few = rows.groupBy("run").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= RARE)).select("run")
+    return rows.join(few, "run")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -324,10 +317,11 @@ def classes(docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         held = _shared_runs(seqs.join(left.select("node").distinct(), "node", "left_semi"))
         least = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("run"), "run"))  # of one text's runs
-        rare = held.where(F.col("n") <= RARE).withColumn("r", least).where(F.col("r") <= BOTTOM)
+        rare = held.withColumn("r", least).where(F.col("r") <= BOTTOM)
         settle(_all_pairs(_mixed(rare.select(F.col("run").alias("key"), "node"), labels)))
-        often = held.groupBy("node").agg(F.count_if(F.col("n") > RARE).alias("often"), F.max("words").alias("words"))
-        often = often.where(2 * F.col("often") >= F.col("words") - SHINGLE + 1).select("node", "words")
+        # A text in large buckets with a quarter of its sketches has half of its runs from frequent passages or more.
+        often = left.groupBy("node").agg(F.count("*").alias("c")).where(4 * F.col("c") >= SKETCHES).select("node")
+        often = often.join(seqs.select("node", (F.octet_length("seq") / 2).cast("long").alias("words")), "node")
         ranked = _mixed(left.select("key", "node").join(often.select("node"), "node"), labels).join(often, "node")
         order = Window.partitionBy("key").orderBy("words", "node")
         ranked = materialize(ranked.select("key", "node", "label", F.row_number().over(order).alias("r")))
