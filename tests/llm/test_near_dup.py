@@ -139,3 +139,43 @@ def test_components(spark):
     want = {x: find(x) for x in up}
     loops = {a for a, b in edges if a == b and not any((x == a) != (y == a) for x, y in edges if x != y)}
     assert got == {x: c for x, c in want.items() if x not in loops}
+
+
+def linked(rows):
+    """Least row of each row's class, by all pairs of texts, whatever runs they share."""
+    words = [(t or "").lower().encode().translate(None, nd._PUNCTUATION).split() for t in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n, m = len(words[i]), len(words[j])
+            most = max(n, m) // 5
+            if rows[i] == rows[j] or n and m and abs(n - m) <= most and distance(words[i], words[j]) <= most:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(rows))]
+
+
+def got_classes(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    return [c for _, c in sorted((r.doc_id, r.class_id) for r in nd.classes(df).collect())]
+
+
+def test_texts_of_frequent_passages(spark):
+    rng, rows = np.random.default_rng(11), []
+    passages = [text(rng, 12) for _ in range(14)]
+    chosen = [np.sort(rng.choice(14, 7, replace=False)) for _ in range(200)]
+    for i, c in enumerate(chosen + chosen[:40] + [np.sort(rng.choice(14, 7, replace=False)) for _ in range(160)]):
+        # Runs inside a passage are held by many others, those at its ends by no other text.
+        rows.append(" ".join(w for p in c for w in [*passages[p], f"own{i}x{p}"]))
+    keys, want = nd.word_keys([r.encode() for r in rows]), list(range(len(rows)))
+    links = [(j, i) for i in range(len(rows)) for j in range(i) if nd.alike(keys[j], keys[i])]
+    for _ in rows:
+        for j, i in links:
+            want[i] = want[j] = min(want[i], want[j])
+    assert len(links) >= 40 and got_classes(spark, rows) == want

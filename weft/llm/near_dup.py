@@ -9,9 +9,9 @@ diagonals, and are near-duplicates if the edits between their words are at most
 
 Exact copies are one node throughout. In a bucket all nodes are first compared to one of them; buckets whose nodes all
 have one class by then are done. Of the others, those of at most SMALL nodes compare all pairs of different classes.
-What is left are texts that share frequent passages: their runs are counted, and each text is bucketed by the BOTTOM
-runs of least hash among those that it shares with at most RARE texts, so these buckets are bounded and compare all
-pairs. Texts that are mostly frequent passages are also compared to the SMALL next ones of like length in their bucket.
+What is left are texts that share frequent passages. They are compared exactly: each is bucketed by its rarest pairs of
+neighbouring words, so many (about two fifths) that two texts that are alike must have one in common, and all pairs of
+different classes in a bucket whose lengths allow it are compared.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read, ship, slices
@@ -30,8 +30,8 @@ SHINGLE, SKETCHES, KEPT = 5, 32, 2
 FIRST = 6
 #: Nodes up to which a bucket compares all pairs.
 SMALL = 12
-#: Texts that share a run at most for it to tell them apart, and how many of these runs bucket a text.
-RARE, BOTTOM = 24, 12
+#: Bits of the hash by which word pairs are counted.
+COUNTED = 20
 #: Two texts of n and m words are near-duplicates if EDITS * edits <= max(n, m).
 EDITS = 5
 
@@ -245,21 +245,115 @@ def _all_pairs(found: DataFrame) -> DataFrame:
     return first.select(F.col("x.node").alias("u"), F.explode(later).alias("y")).select("u", F.col("y.node").alias("v"))
 
 
-def _shared_runs(seqs: DataFrame) -> DataFrame:
-    """(node, run): the runs of each text that others of these texts hold, RARE in all at most."""
+def _pairs_of(words: np.ndarray) -> np.ndarray:
+    """uint64 of each two neighbouring words (the word itself if it is the only one); the second occurrence of two
+    words is another one."""
+    w = words.astype(np.uint64)
+    pair = _scramble(w[:-1] * np.uint64(65599) + w[1:] + np.uint64(1)) if len(w) > 1 else _scramble(w + np.uint64(1))
+    order = np.argsort(pair, kind="stable")
+    same = pair[order]
+    first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+    nth = np.empty(len(pair), np.uint64)
+    nth[order] = (np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))).astype(np.uint64)
+    return _scramble(pair + nth * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _needed(n):
+    """Word pairs that a text of n words shares at least with one not longer that is alike: an edit changes two."""
+    return n - 1 - 2 * (n // EDITS)
+
+
+def _rarest(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest word pairs of a text (uint64), so many that texts that are alike have one of them in common.
+
+    They share _needed(longer) at least, so not all of these can be beyond the first n - _needed in any one order that
+    all texts follow."""
+    found, n = _pairs_of(words), len(words)
+    least = min(_needed(n), _needed((n // EDITS + 1) * EDITS))  # the longer one may have more words than this one
+    order = np.lexsort((found, counts[(found >> np.uint64(64 - COUNTED)).astype(np.int64)]))
+    return found[order[: max(1, n - least)]]
+
+
+def _counts(seqs: DataFrame) -> np.ndarray:
+    """How often hashed word pairs occur in some texts. This only orders word pairs: any counts give the same links."""
 
     def run(batches):
+        total = np.zeros(1 << COUNTED, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, (_pairs_of(np.frombuffer(x, "<u2")) >> np.uint64(64 - COUNTED)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    every = max(1, seqs.count() // 4096)
+    some = seqs.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("seq").mapInArrow(run, "at long, n long")
+    found = some.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTED, np.int32)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(u, v): all pairs of texts of different classes that can be alike by their lengths and rarest word pairs."""
+    counts = seqs.sparkSession.sparkContext.broadcast(_counts(seqs))
+
+    def emit(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                words = [np.frombuffer(x, "<u2") for x in part.column(1).to_pylist()]
-                found = [np.unique(runs(w)).view(np.int64) for w in words]
-                nodes = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-                yield pa.record_batch([pa.array(nodes), pa.array(np.concatenate(found))], ["node", "run"])
+                words = [np.frombuffer(x, "<u2") for x in part.column(2).to_pylist()]
+                keys = [_rarest(w, counts.value) for w in words]
+                times = [len(k) for k in keys]
+                node, label = (np.repeat(part.column(i).to_numpy(), times) for i in (0, 1))
+                size = np.repeat(np.array([len(w) for w in words], np.int32), times)
+                columns = [np.concatenate(keys).view(np.int64), node, label, size]
+                yield pa.record_batch([pa.array(c) for c in columns], ["key", "node", "label", "n"])
+
+    def meet(batches):
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        key, node, label, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        del parts
+        order = np.argsort(key, kind="stable")
+        same = key[order]
+        more = np.zeros(len(order), bool)  # rows whose key others have
+        more[1:] = same[1:] == same[:-1]
+        more[:-1] |= more[1:]
+        order = order[more]
+        key, node, label, n = key[order], node[order], label[order], n[order]
+        order = np.lexsort((node, label, key))
+        key, node, label, n = key[order], node[order], label[order], n[order]
+        if not len(key):
+            return
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        new_label = new_key | np.concatenate([[True], label[1:] != label[:-1]])
+        end_key, end_label = (np.append(np.flatnonzero(x)[1:], len(key))[np.cumsum(x) - 1] for x in (new_key, new_label))
+        times = end_key - end_label  # partners of other classes in the same bucket, each pair once
+        upto = np.cumsum(times)
+        found, at = np.zeros((0, 2), np.int64), 0
+        while at < len(times):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, side="right")))
+            t = times[at:to]
+            u = np.repeat(np.arange(at, to), t)
+            v = np.repeat(end_label[at:to], t) + np.arange(len(u)) - np.repeat(np.cumsum(t) - t, t)
+            longer = np.maximum(n[u], n[v])
+            near = longer - np.minimum(n[u], n[v]) <= longer // EDITS
+            u, v = node[u[near]], node[v[near]]
+            if len(u):
+                found = np.unique(np.concatenate([found, np.stack([np.minimum(u, v), np.maximum(u, v)], 1)]), axis=0)
+            if len(found) > 500_000:
+                yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+                found = found[:0]
+            at = to
+        yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
-    rows = materialize(seqs.select("node", "seq").mapInArrow(run, "node long, run long"))
-    few = rows.groupBy("run").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= RARE)).select("run")
-    return rows.join(few, "run")
+    if labels is None:
+        named = seqs.select("node", F.col("node").alias("label"), "seq")
+    else:
+        named = seqs.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "seq")
+    rows = named.where(F.octet_length("seq") > 0).mapInArrow(emit, "key long, node long, label long, n int")
+    return rows.repartition(seqs.count() // 2000 + 1, "key").mapInArrow(meet, "u long, v long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -315,20 +409,7 @@ def classes(docs: DataFrame) -> DataFrame:
     settle(_all_pairs(found.where(F.col("n") <= SMALL)).unionByName(star(many)))
     left = materialize(_mixed(many.select("key", "node"), labels))
     if not left.isEmpty():
-        held = _shared_runs(seqs.join(left.select("node").distinct(), "node", "left_semi"))
-        least = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("run"), "run"))  # of one text's runs
-        rare = held.withColumn("r", least).where(F.col("r") <= BOTTOM)
-        settle(_all_pairs(_mixed(rare.select(F.col("run").alias("key"), "node"), labels)))
-        # A text in large buckets with a quarter of its sketches has half of its runs from frequent passages or more.
-        often = left.groupBy("node").agg(F.count("*").alias("c")).where(4 * F.col("c") >= SKETCHES).select("node")
-        often = often.join(seqs.select("node", (F.octet_length("seq") / 2).cast("long").alias("words")), "node")
-        ranked = _mixed(left.select("key", "node").join(often.select("node"), "node"), labels).join(often, "node")
-        order = Window.partitionBy("key").orderBy("words", "node")
-        ranked = materialize(ranked.select("key", "node", "label", F.row_number().over(order).alias("r")))
-        back = F.explode(F.sequence(F.col("r") - SMALL, F.col("r") - 1)).alias("r")
-        after = ranked.select("key", F.col("node").alias("v"), F.col("label").alias("v_label"), back)
-        near = ranked.join(after, ["key", "r"]).where("label <> v_label")
-        settle(near.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")))
+        settle(_sharing(materialize(seqs.join(left.select("node").distinct(), "node", "left_semi")), labels))
     out = rows.select("doc_id", "h").join(texts.select("h", "node"), "h")
     if labels is None:
         return out.select("doc_id", "h", F.col("node").alias("class_id"))
