@@ -179,3 +179,17 @@ def test_texts_of_frequent_passages(spark):
         for j, i in links:
             want[i] = want[j] = min(want[i], want[j])
     assert len(links) >= 40 and got_classes(spark, rows) == want
+
+
+def test_edits_at_any_places(spark):
+    rng, rows = np.random.default_rng(12), []
+    for n in (5, 6, 10, 10, 15, 20, 25, 40, 60, 100, 150):
+        for edits in (n // 10, n // 5):
+            even, some = text(rng, n), text(rng, n)
+            rows.append(" ".join(even))
+            at = set(np.arange(n // edits // 2, n, n // edits)[:edits]) if edits else set()
+            rows.append(" ".join(f"x{i}" if i in at else w for i, w in enumerate(even)))
+            rows += [" ".join(some), " ".join(edited(rng, some, edits))]
+    rows += ["a b c d E f g h i j", "a b c d e f g h i j", "one two", "one too", "one"]
+    want = linked(rows)
+    assert len(set(want)) < len(rows) * 0.6 and got_classes(spark, rows) == want

@@ -9,7 +9,9 @@ diagonals, and are near-duplicates if the edits between their words are at most
 
 Exact copies are one node throughout. In a bucket all nodes are first compared to one of them; buckets whose nodes all
 have one class by then are done. Of the others, those of at most SMALL nodes compare all pairs of different classes.
-What is left are texts that share frequent passages. They are compared exactly: each is bucketed by its rarest pairs of
+
+The buckets only settle most classes cheaply; edits spread over a text, short texts and texts that share frequent
+passages can fail to meet in them. So at last all texts are compared exactly: each is bucketed by its rarest pairs of
 neighbouring words, so many (about two fifths) that two texts that are alike must have one in common, and all pairs of
 different classes in a bucket whose lengths allow it are compared.
 """
@@ -352,7 +354,7 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
         named = seqs.select("node", F.col("node").alias("label"), "seq")
     else:
         named = seqs.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "seq")
-    rows = named.where(F.octet_length("seq") > 0).mapInArrow(emit, "key long, node long, label long, n int")
+    rows = named.mapInArrow(emit, "key long, node long, label long, n int")
     return rows.repartition(seqs.count() // 2000 + 1, "key").mapInArrow(meet, "u long, v long")
 
 
@@ -373,9 +375,7 @@ def classes(docs: DataFrame) -> DataFrame:
     entries = one.select("node", F.posexplode("keys").alias("sketch", "key")).distinct()
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     entries = materialize(entries.join(shared, "key"))
-    met = entries.select("node").distinct()
-    one = materialize(one.select("node", "seq").join(met, "node", "left_semi"))
-    seqs = one.select("node", "seq")
+    seqs = materialize(one.select("node", "seq").where(F.octet_length("seq") > 0))
     labels, tested = None, None
 
     def settle(pairs: DataFrame) -> None:
@@ -407,9 +407,7 @@ def classes(docs: DataFrame) -> DataFrame:
     found = materialize(_mixed(entries.select("key", "node"), labels))
     many = found.where(F.col("n") > SMALL)
     settle(_all_pairs(found.where(F.col("n") <= SMALL)).unionByName(star(many)))
-    left = materialize(_mixed(many.select("key", "node"), labels))
-    if not left.isEmpty():
-        settle(_sharing(materialize(seqs.join(left.select("node").distinct(), "node", "left_semi")), labels))
+    settle(_sharing(seqs, labels))
     out = rows.select("doc_id", "h").join(texts.select("h", "node"), "h")
     if labels is None:
         return out.select("doc_id", "h", F.col("node").alias("class_id"))
