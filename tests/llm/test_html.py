@@ -31,6 +31,19 @@ def test_articles():
     assert H.main_text(page("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>")) == "one\ntwo\na\nb"
 
 
+def test_parts_of_unequal_length():
+    long = "A paragraph, with commas, and words, enough of them, to count, as the text goes on and on."
+    parts = [*[long] * 5, "One short paragraph."]
+    want = "\n".join(parts)
+    five, short = "".join(f"<p>{p}</p>" for p in parts[:5]), f"<p>{parts[5]}</p>"
+    divs = "".join(f"<div><p>{p}</p></div>" for p in (long * 9, "Short.", "Shorter."))
+    for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>")):
+        for part in ("section", "div", "div class=text"):
+            inner = f"<{part}>{five}</{part.split()[0]}><{part}>{short}</{part.split()[0]}>"
+            assert H.main_text(page(f"{start}{inner}{end}")) == want
+        assert H.main_text(page(f"{start}{divs}{end}")) == f"{long * 9}\nShort.\nShorter."
+
+
 def test_odd_pages():
     assert H.main_text(None) == H.main_text("") == H.main_text("<html><script>x") == ""
     assert H.main_text("just text, no markup & such") == "just text, no markup & such"

@@ -3,7 +3,8 @@
 A page is read once into nodes and blocks of text. Boilerplate elements (by tag, role, hidden attributes, or words of
 class and id) take no part. Each block gives its container one point, one for every comma and up to three for length,
 less its share of link text; the container's parent gets half, its grandparent a third, and so on. The container with
-most points, discounted by its own link density, is the main one; siblings with enough points, headings and
+most points, discounted by its own link density, is the main one, or else the article, main or promising container
+around it, of which it may be just one section; siblings with enough points, headings and
 paragraphs beside it are kept with it. Lists of links inside it go.
 """
 
@@ -203,6 +204,20 @@ class _Page:
             self._start(tag, raw)
         self._flush()
 
+    @staticmethod
+    def _whole(best: _Node) -> _Node:
+        """The article that best is a part of: the nearest article or main around it, else the nearest promising
+        container, unless that is mostly links."""
+        if best.tag in ("article", "main"):
+            return best
+        around, n = [], best.parent
+        while n is not None:
+            if n.tag in _CONTAINER and n.link_chars < 0.5 * n.chars:
+                around.append(n)
+            n = n.parent
+        named = [n for n in around if n.tag in ("article", "main")]
+        return next(iter(named or [n for n in around if n.good]), best)
+
     def text(self) -> str:
         if not self.blocks:
             return ""
@@ -218,7 +233,9 @@ class _Page:
 
         scored = [n for n in self.nodes if n.tag in _CONTAINER and n.chars]
         best = max(scored, key=lambda n: (worth(n), n.chars, -n.order), default=self.root)
-        keep, least = {id(best)}, max(10.0, 0.2 * worth(best))
+        least = max(10.0, 0.2 * worth(best))
+        best = self._whole(best)
+        keep = {id(best)}
         for n in self.nodes:
             if n.parent is best.parent and n is not best and best.parent is not None and n.chars:
                 density = n.link_chars / n.chars
