@@ -59,3 +59,17 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     assert secrets.scan(df).count() == 0
     assert len(hashlib.sha256(b"").hexdigest()) == 64
+
+
+def test_copies_and_repositories(spark):
+    doc = " ".join(f"word{i}" for i in range(80))
+    other = lambda k: " ".join(f"other{k}x{i}" for i in range(40))
+    letters = "qWzRtYpLkJhGfDsXcVbN"
+    rows = [(1, f"{doc} {LIVE} end", "a", "en"), (2, f"{doc} {LIVE} end now", "b", "en")]  # copies of one document
+    rows += [(10 + k, f"{other(k)} {COPIED}", "hot", f"l{k % 4}") for k in range(12)]  # one owner, four repositories
+    rows += [(30, f"{other(30)} {letters}", "a", "en"), (31, "getElementsByClassNameAndTag", "a", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: ([s.value for s in r.added], r.n_copied) for r in secrets.scan(df).collect()}
+    assert got[1] == got[2] == ([LIVE], 0)
+    assert all(got[10 + k] == ([], 1) for k in range(12))
+    assert got[30] == ([letters], 0) and got[31] == ([], 0)

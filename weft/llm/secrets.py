@@ -2,11 +2,12 @@
 
 Four kinds of spans are found in whole texts. Three are rules (`assign`, `access`, `hex`) and always stay. The fourth,
 `token`, is any long run of letters, digits and `_-` that mixes them like a random string; on its own that is only a
-candidate. Candidates' hashes are counted over the corpus by distinct repositories and distinct owners: a value that
-several owners hold is a copied example, one that stays with few owners is live-looking. Only live-looking candidates
+candidate. Candidates' hashes are counted over the corpus by distinct documents, repositories and owners, near-copies of
+one document counting once, with one of their owners and repositories: a value that documents of several owners or of
+many repositories hold is a copied example, any other one is live-looking. Only live-looking candidates
 that overlap no rule's span become spans. (Rule spans carry the same verdict, but are kept whatever it is.)
 
-Values are pre-aggregated by (value, owner, repository) before anything meets; verdicts go back to documents through
+Values are pre-aggregated by (value, document sketch) before anything meets; verdicts go back to documents through
 a join on (value, salt), so a value that a third of the documents hold is spread over SALTS keys.
 """
 
@@ -32,6 +33,13 @@ TOKEN = r"[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "token")
 #: A value that more owners than this hold is a copied example.
 OWNERS = 1
+#: So is one that more repositories than this hold, be they of one owner.
+REPOS = 2
+#: Hashes of least value over three-word runs by which near-copies of a document are counted once.
+SEEDS = 6
+#: Least entropy of the characters in bits, and least share of neighbours of different kinds, of a random string that
+#: has few digits.
+ENTROPY, SWITCHES = 3.5, 0.35
 SALTS = 16
 
 
@@ -62,7 +70,23 @@ def _random_looking(v: Column) -> Column:
     digits, lower, upper = (F.length(F.regexp_replace(v, c, "")) for c in ("[^0-9]", "[^a-z]", "[^A-Z]"))
     kinds = (lower > 0).cast("int") + (upper > 0).cast("int")
     distinct = F.size(F.array_distinct(F.split(v, "")))
-    return (digits >= 4) & (lower + upper >= 4) & (kinds >= 1) & (distinct >= 10)
+    mixed = (digits >= 4) & (lower + upper >= 4) & (kinds >= 1) & (distinct >= 10)
+    # Few digits: a random string changes often between lower case, upper case and digits, and is not words in camel case.
+    plain = F.regexp_replace(v, "[_-]", "")
+    runs = plain
+    for kind, one in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0")):
+        runs = F.regexp_replace(runs, kind, one)
+    n = F.length(plain)
+    share = lambda c: (n - F.length(F.replace(plain, c, F.lit("")))) / n
+    bits = F.aggregate(F.array_distinct(F.split(plain, "")), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    return mixed | ((n >= 16) & ~plain.rlike(r"^[a-z]*\d*([A-Z][a-z]+\d*)*$") & (F.length(runs) - 1 >= SWITCHES * (n - 1)) & (bits >= ENTROPY))
+
+
+def _sketch(text: Column) -> Column:
+    """array<long>: for each of SEEDS the least hash of the text's three-word runs."""
+    words = F.split(F.lower(text), r"\s+")
+    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3)))
+    return F.transform(F.array(*map(F.lit, range(SEEDS))), lambda seed: F.array_min(F.transform(run, lambda h: F.xxhash64(h, seed))))
 
 
 def _joined(spans: Column) -> Column:
@@ -99,8 +123,8 @@ def scan(
     (candidates left out as copied examples); spans are structs (start, kind, end, value) in order. With carry, only
     rows with a rule span or a candidate, and their whole row of docs as struct `doc`.
 
-    Null text is empty. A null owner is an owner of its own. Repeated rows are scanned each, and as copies with one
-    owner they do not make a value copied. An empty table gives no rows; other columns are ignored.
+    Null text is empty. A null owner is an owner of its own. Repeated rows are scanned each, and as copies of one
+    document they do not make a value copied, whoever holds them. An empty table gives no rows; other columns are ignored.
     """
     rules, tokens = _find(F.coalesce(F.col(text_col), F.lit("")))
     repo = F.concat_ws("/", *(F.coalesce(F.col(c), F.lit("")) for c in repo_cols))
@@ -111,21 +135,28 @@ def scan(
         F.monotonically_increasing_id().alias("row"),
         rules.alias("rules"),
         tokens.alias("tokens"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("body"),
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []),
     )
     found = found.withColumn("tokens", _clear(F.col("tokens"), F.col("rules")))
+    found = found.withColumn("sketch", F.when(F.size("tokens") > 0, _sketch(F.col("body")))).drop("body")
     if carry:
         found = found.where(F.size("rules") + F.size("tokens") > 0)
     # The text goes no further; row numbers are fixed by being written.
     found = materialize(found)
-    hits = found.where(F.size("tokens") > 0).select("row", "owner", "repo", F.explode("tokens").alias("t"))
+    hits = found.where(F.size("tokens") > 0).select("row", "owner", "repo", "sketch", F.explode("tokens").alias("t"))
     hits = hits.withColumn("hash", F.sha2(F.col("t.value"), 256))
-    held = hits.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    owned = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    # Near-copies agree in one seed or more, so of the seeds the one that tells fewest documents apart counts.
+    held = hits.select("hash", "owner", "repo", F.posexplode("sketch").alias("seed", "doc"))
+    held = held.groupBy("hash", "seed", "doc").agg(F.min(F.struct("owner", "repo")).alias("at"))
+    held = held.groupBy("hash", "seed", "at").agg(F.lit(1).alias("one")).groupBy("hash", "seed", "at.owner")
+    held = held.agg(F.count("*").alias("repos")).groupBy("hash", "seed")
+    owned = held.agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    owned = owned.groupBy("hash").agg(F.min("owners").alias("owners"), F.min("repos").alias("repos"))
     salted = owned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = hits.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     judged = hits.join(salted, ["hash", "salt"])
-    live = F.col("owners") <= owners
+    live = (F.col("owners") <= owners) & (F.col("repos") <= REPOS)
     per_row = judged.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when(live, F.col("t")))).alias("added"),
         F.count_if(~live).alias("n_copied"),
