@@ -280,14 +280,19 @@ def _counts(seqs: DataFrame) -> np.ndarray:
     """How often hashed word pairs occur in some texts. This only orders word pairs: any counts give the same links."""
 
     def run(batches):
-        total = np.zeros(1 << COUNTED, np.int64)
+        total, found = np.zeros(1 << COUNTED, np.int64), []
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                np.add.at(total, (_pairs_of(np.frombuffer(x, "<u2")) >> np.uint64(64 - COUNTED)).astype(np.int64), 1)
+                found.append((_pairs_of(np.frombuffer(x, "<u2")) >> np.uint64(64 - COUNTED)).astype(np.int64))
+                if len(found) >= 2048:
+                    total += np.bincount(np.concatenate(found), minlength=1 << COUNTED)
+                    found = []
+        if found:
+            total += np.bincount(np.concatenate(found), minlength=1 << COUNTED)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    every = max(1, seqs.count() // 4096)
+    every = max(1, seqs.count() // 16384)
     some = seqs.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("seq").mapInArrow(run, "at long, n long")
     found = some.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNTED, np.int32)
@@ -299,24 +304,39 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(u, v): all pairs of texts of different classes that can be alike by their lengths and rarest word pairs."""
     counts = seqs.sparkSession.sparkContext.broadcast(_counts(seqs))
 
+    parts = seqs.count() // 4000 + 1
+
     def emit(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                words = [np.frombuffer(x, "<u2") for x in part.column(2).to_pylist()]
-                keys = [_rarest(w, counts.value) for w in words]
-                times = [len(k) for k in keys]
-                node, label = (np.repeat(part.column(i).to_numpy(), times) for i in (0, 1))
-                size = np.repeat(np.array([len(w) for w in words], np.int32), times)
-                columns = [np.concatenate(keys).view(np.int64), node, label, size]
-                yield pa.record_batch([pa.array(c) for c in columns], ["key", "node", "label", "n"])
+            for at in range(0, batch.num_rows, 2048):
+                chunk = batch.slice(at, 2048)
+                words = [np.frombuffer(x, "<u2") for x in chunk.column(2).to_pylist()]
+                found = [_rarest(w, counts.value) for w in words]
+                key, place = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
+                part = (key % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                key, place = key[order], place[order]
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                node, label = (chunk.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+                size = np.array([len(w) for w in words], np.int32)
+                for k in range(parts):
+                    x, y = ends[k], ends[k + 1]
+                    if x < y:
+                        some, nth = np.unique(place[x:y], return_inverse=True)
+                        columns = [key[x:y], nth.astype(np.uint16), node[some], label[some], size[some]]
+                        row = [pa.array([k], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
+                        yield pa.record_batch(row, ["part", "key", "nth", "node", "label", "n"])
 
     def meet(batches):
-        parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
-        if not parts:
+        rows = []
+        for batch in batches:
+            for key, nth, *of in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                nth = np.frombuffer(nth, np.uint16)
+                rows.append((np.frombuffer(key, np.uint64), *(np.frombuffer(x, t)[nth] for x, t in zip(of, ("i8", "i8", "i4")))))
+        if not rows:
             return
-        key, node, label, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        del parts
+        key, node, label, n = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        del rows
         order = np.argsort(key, kind="stable")
         same = key[order]
         more = np.zeros(len(order), bool)  # rows whose key others have
@@ -354,8 +374,8 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
         named = seqs.select("node", F.col("node").alias("label"), "seq")
     else:
         named = seqs.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "seq")
-    rows = named.mapInArrow(emit, "key long, node long, label long, n int")
-    return rows.repartition(seqs.count() // 2000 + 1, "key").mapInArrow(meet, "u long, v long")
+    rows = named.mapInArrow(emit, "part int, key binary, nth binary, node binary, label binary, n binary")
+    return rows.repartition(parts, "part").mapInArrow(meet, "u long, v long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
