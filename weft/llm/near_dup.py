@@ -12,8 +12,8 @@ have one class by then are done. Of the others, those of at most SMALL nodes com
 
 The buckets only settle most classes cheaply; edits spread over a text, short texts and texts that share frequent
 passages can fail to meet in them. So at last all texts are compared exactly: each is bucketed by its rarest pairs of
-neighbouring words, so many (about two fifths) that two texts that are alike must have one in common, and all pairs of
-different classes in a bucket whose lengths allow it are compared.
+neighbouring words, so many (less than half) that two texts that are alike must have one in twenty of their words as
+such pairs in common, and all of different classes that do and whose lengths allow it are compared.
 """
 
 from __future__ import annotations
@@ -265,15 +265,24 @@ def _needed(n):
     return n - 1 - 2 * (n // EDITS)
 
 
+def _least(n):
+    """_needed of a text of n words and any that is alike and not shorter."""
+    return np.minimum(_needed(n), _needed((n // EDITS + 1) * EDITS))
+
+
+def _common(n):
+    """Rarest word pairs that a text of n words has in common with one that is alike, if that has as many or more."""
+    return 1 + np.maximum(0, np.minimum(_least(n) - 1, n // 20))
+
+
 def _rarest(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest word pairs of a text (uint64), so many that texts that are alike have one of them in common.
+    """The rarest word pairs of a text (uint64), so many that texts that are alike have _common of them in common.
 
-    They share _needed(longer) at least, so not all of these can be beyond the first n - _needed in any one order that
-    all texts follow."""
+    They share _needed(longer) at least, so all but _common - 1 of these cannot be beyond the first n - 1 - _needed +
+    _common in any one order that all texts follow."""
     found, n = _pairs_of(words), len(words)
-    least = min(_needed(n), _needed((n // EDITS + 1) * EDITS))  # the longer one may have more words than this one
     order = np.lexsort((found, counts[(found >> np.uint64(64 - COUNTED)).astype(np.int64)]))
-    return found[order[: max(1, n - least)]]
+    return found[order[: max(1, n - 1 - int(_least(n)) + int(_common(n)))]]
 
 
 def _counts(seqs: DataFrame) -> np.ndarray:
@@ -353,7 +362,7 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
         end_key, end_label = (np.append(np.flatnonzero(x)[1:], len(key))[np.cumsum(x) - 1] for x in (new_key, new_label))
         times = end_key - end_label  # partners of other classes in the same bucket, each pair once
         upto = np.cumsum(times)
-        found, at = np.zeros((0, 2), np.int64), 0
+        common, at = _common(n), 0
         while at < len(times):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, side="right")))
             t = times[at:to]
@@ -361,21 +370,22 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
             v = np.repeat(end_label[at:to], t) + np.arange(len(u)) - np.repeat(np.cumsum(t) - t, t)
             longer = np.maximum(n[u], n[v])
             near = longer - np.minimum(n[u], n[v]) <= longer // EDITS
-            u, v = node[u[near]], node[v[near]]
-            if len(u):
-                found = np.unique(np.concatenate([found, np.stack([np.minimum(u, v), np.maximum(u, v)], 1)]), axis=0)
-            if len(found) > 500_000:
-                yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
-                found = found[:0]
+            u, v = u[near], v[near]
+            pairs = np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v]), np.minimum(common[u], common[v])])
+            pairs = pairs[:, np.lexsort(pairs[:2])]
+            start = np.flatnonzero(np.append(True, (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0))) if len(u) else u
+            met = np.diff(np.append(start, len(u)))
+            yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in (*pairs[:, start], met))], ["u", "v", "common", "met"])
             at = to
-        yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
     if labels is None:
         named = seqs.select("node", F.col("node").alias("label"), "seq")
     else:
         named = seqs.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "seq")
     rows = named.mapInArrow(emit, "part int, key binary, nth binary, node binary, label binary, n binary")
-    return rows.repartition(parts, "part").mapInArrow(meet, "u long, v long")
+    pairs = rows.repartition(parts, "part").mapInArrow(meet, "u long, v long, common long, met long")
+    pairs = pairs.groupBy("u", "v").agg(F.sum("met").alias("met"), F.min("common").alias("common"))
+    return pairs.where("met >= common").select("u", "v")
 
 
 def classes(docs: DataFrame) -> DataFrame:
