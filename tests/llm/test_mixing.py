@@ -73,3 +73,22 @@ def test_mix(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0
+
+
+def test_large_ids_and_equal_rows(spark):
+    rows = [(2**53 + 2 * i + 1, "w " * (1 + i % 7), "a") for i in range(60)] + [(None, "w w", "a"), (3, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.size) for r in mixing.mix(df).collect())
+    assert got == sorted((d or 0, len(t.split())) for d, t, _ in rows)
+    same = spark.range(100_000).selectExpr("5L AS doc_id", "'one two three' AS text", "'hot' AS source")
+    other = spark.range(400).selectExpr("id + 10 AS doc_id", "repeat('w ', cast(id % 50 as int)) AS text", "'z' AS source")
+    out = mixing.mix(same.unionByName(other), weights=(1, 3)).toPandas()
+    assert len(out) == 100_400
+    hot = out[out.source == "hot"]
+    assert abs(hot.taken.sum() - hot.target.iloc[0]) <= 4
+
+
+def test_each_splits_large_groups(spark):
+    groups = spark.createDataFrame([("a", 1), ("b", 10), ("c", 25), (None, 11)], "k string, n long")
+    got = sorted(((r.k or ""), r.nth) for r in mixing._each(groups, chunk=10).collect())
+    assert got == sorted((k, i) for k, n in (("a", 1), ("b", 10), ("c", 25), ("", 11)) for i in range(n))

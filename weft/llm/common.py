@@ -48,6 +48,15 @@ def ship(spark: SparkSession) -> None:
     sc._weft_shipped = True
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name for a further column, which none of these has."""
+    taken = {c.lower() for c in columns}
+    out = f"weft_{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as large_binary without copying its bytes; null becomes empty."""
     col = batch.column(batch.schema.get_field_index(name))

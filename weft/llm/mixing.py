@@ -15,12 +15,11 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize, read, ship
+from .common import fresh, materialize, read, ship
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources by code point, null last, repeating.
@@ -123,69 +122,73 @@ def landing(size: np.ndarray, p: np.ndarray, due: float) -> np.ndarray:
     return out
 
 
-_STATE = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("src", T.IntegerType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("order", T.LongType()),
-        T.StructField("p", T.DoubleType()),
-    ]
-)
-
-
 def _fly(last: bool, hold: int):
     """hold: units of each block that wait for the next level, so that the last block has enough to land well."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
-        size, p = pdf["size"].to_numpy(), pdf["p"].to_numpy()
-        seed = int(pdf["order"].iloc[0]) * 31 + int(pdf["src"].iloc[0])
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        size, p = block.column("size").to_numpy(), block.column("p").to_numpy()
+        seed = block.column("order")[0].as_py() * 31 + block.column("src")[0].as_py()
         fly = len(p) if last else max(0, len(p) - hold)
         out = np.concatenate([flight(size[:fly], p[:fly], _random(seed)), p[fly:]])
         if last:
             done = np.isin(out, (0.0, 1.0))
             # The landing makes up for the size that is due to the units still open.
             out = landing(size, out, float((out * size)[~done].sum()))
-        pdf["p"] = out
-        return pdf[["doc_id", "src", "size", "order", "p"]]
+        columns = [block.column(c) for c in ("doc_id", "src", "size", "order")]
+        return pa.table([*columns, pa.array(out, pa.float64())], ["doc_id", "src", "size", "order", "p"])
 
     return run
 
 
 def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """units(doc_id, src int, size long, order long, p double in (0, 1)) with p moved to 0 or 1.
+    """units(doc_id, src int, size long, order long, p double in (0, 1)) with p moved to 0 or 1; doc_id of any type that
+    has an order.
 
     Balanced within each src on the count and on the sum of sizes. Levels of flights: each level's blocks hold about
     `block` units of one src; what stays fractional (two a block and HOLD that wait) goes on to the next level.
     """
-    ship(units.sparkSession)
-    state, done = units, []
-    counts = {r["src"]: r["n"] for r in state.groupBy("src").agg(F.count("*").alias("n")).collect()}  # a row a source
+    spark = units.sparkSession
+    ship(spark)
+    state, done = units.select("doc_id", "src", "size", "order", "p"), []
+    schema = state.schema
+
+    def count() -> dict[int, int]:  # a row a source
+        return {r["src"]: r["n"] for r in state.groupBy("src").agg(F.count("*").alias("n")).collect()}
+
+    counts = count()
     while True:
         last = all(n <= block for n in counts.values())
-        spread = F.lit(1)
-        for src, n in counts.items():
-            if n > block:
-                spread = F.when(F.col("src") == src, F.lit(-(-n // block))).otherwise(spread)
-        keyed = state.withColumn("blk", F.pmod(F.xxhash64("order", F.lit(len(done))), spread.cast("long")))
-        state = materialize(keyed.groupBy("src", "blk").applyInPandas(_fly(last, min(HOLD, block // 8)), _STATE))
+        spread = spark.createDataFrame([(s, -(-n // block)) for s, n in counts.items()], "src int, spread long")
+        place = F.pmod(F.xxhash64("order", F.lit(len(done))), F.col("spread"))
+        keyed = state.join(spread, "src").select(*state.columns, place.alias("blk"))
+        state = materialize(keyed.groupBy("src", "blk").applyInArrow(_fly(last, min(HOLD, block // 8)), schema))
         if last:
             done.append(state)
             break
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(state.where(~open_))
         state = state.where(open_)
-        now = {r["src"]: r["n"] for r in state.groupBy("src").agg(F.count("*").alias("n")).collect()}
-        if not now:
+        counts = count()
+        if not counts:
             break
-        counts = now
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
+def _each(groups: DataFrame, chunk: int = 4096) -> DataFrame:
+    """groups(..., n) as n rows each, numbered from 0 in `nth`; large groups by chunks that are dealt out first."""
+    rest = [c for c in groups.columns if c != "n"]
+    upto = F.least(F.col("at") + chunk, F.col("n")) - 1
+    few = groups.where(F.col("n") <= chunk).withColumn("at", F.lit(0).cast("long"))
+    many = groups.where(F.col("n") > chunk)
+    many = many.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long"))))
+    cut = few.unionByName(many.repartition("at", *rest))
+    return cut.select(*rest, F.explode(F.sequence(F.col("at"), upto)).alias("nth"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -202,11 +205,16 @@ def mix(
     (copies * size). Null text has size 0; null source is a source of its own, last in rank; repeated rows are units
     of their own; null ids stay. Documents of size 0 cost nothing: they are taken floor(p) times. An empty table gives
     no rows. Sources are rows of a driver-side table: one row a source, not a document.
+
+    The draw depends on the rows alone, not on how they are dealt: sources are numbered by rank, and rows equal in id,
+    source and size are counted before they are numbered, so that they too spread over all blocks.
     """
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-    base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size")))
-    sizes = [(r["source"], r["size"]) for r in base.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"))
+    base = materialize(base.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+    sizes = base.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).collect()
+    sizes = sorted(((r["source"], r["size"]) for r in sizes), key=lambda s: (s[0] is None, s[0] or ""))
     goal = targets(sizes, weights, Fraction(*share), most)
     rows = []
     for i, (s, n) in enumerate(sizes):
@@ -216,11 +224,9 @@ def mix(
         rows, "source string, src int, source_size long, target double, whole int, p double"
     )  # one row a source; Spark broadcasts it only below its own threshold
     named = base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-    named = named.select("doc_id", "b.source", "size", "src", "source_size", "target", "whole", "p")
+    named = _each(named.select("doc_id", "size", "src", "p", "n"))
     drawn = (F.col("p") > 0) & (F.col("size") > 0)
-    units = named.where(drawn).select(
-        "doc_id", "src", "size", F.xxhash64("doc_id", "size").alias("order"), "p"
-    )
+    units = named.where(drawn).withColumn("order", F.xxhash64("doc_id", "size", "nth"))
     picked = cube_sample(units, block).select("doc_id", "src", "size", F.col("p").cast("int").alias("extra"))
     fixed = named.where(~drawn).select("doc_id", "src", "size", F.lit(0).alias("extra"))
     return (
@@ -243,14 +249,19 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it (rows equal in id, text and source as one group)."""
-    key = F.xxhash64("doc_id", "text", "source")
-    copies = mix(docs.select(key.alias("doc_id"), "text", "source"))
-    copies = copies.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("weft_copies"))
-    copies = copies.where("weft_copies > 0").withColumnRenamed("doc_id", "weft_key")
-    kept = docs.withColumn("weft_key", key).join(copies, "weft_key").dropDuplicates(["weft_key"])
-    again = F.explode(F.sequence(F.lit(1), F.col("weft_copies"))).alias("weft_copy")
-    return kept.select(*docs.columns, again).drop("weft_copy")
+    """Pipeline stage: every document as often as the mix takes it (rows equal in all columns as one group).
+
+    Rows meet their copies by two hashes of 64 bits over all columns, with their nulls marked (columns of maps, which
+    have no hash, take no part)."""
+    columns = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = [*columns, *(F.col(c).isNull() for c in columns)]
+    row_key = F.concat_ws(":", F.xxhash64(F.lit(1), *whole), F.xxhash64(F.lit(2), *whole))
+    key, times, nth = (fresh(docs.columns, c) for c in ("key", "copies", "copy"))
+    copies = mix(docs.select(row_key.alias("doc_id"), "text", "source"))
+    copies = copies.groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").cast("int").alias(times)).where(F.col(times) > 0)
+    kept = docs.withColumn(key, row_key).join(copies, key).dropDuplicates([key])
+    again = F.explode(F.sequence(F.lit(1), F.col(times))).alias(nth)
+    return kept.select(*(f"`{c}`" for c in docs.columns), again).drop(nth)
 
 
 QUERIES = {"op1_cube_mix": op1_cube_mix}

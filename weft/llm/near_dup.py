@@ -18,13 +18,15 @@ such pairs in common, and all of different classes that do and whose lengths all
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, ship, slices
+from .common import fresh, materialize, read, ship, slices
 from ..operators.components import components
 
 SHINGLE, SKETCHES, KEPT = 5, 32, 2
@@ -36,6 +38,8 @@ SMALL = 12
 COUNTED = 20
 #: Two texts of n and m words are near-duplicates if EDITS * edits <= max(n, m).
 EDITS = 5
+#: Pairs that a block of comparisons holds about, and bytes of the texts of its rows or columns.
+BLOCK_PAIRS, BLOCK_BYTES = 10_000, 24 << 20
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,8 +170,19 @@ def _rows_band(a: np.ndarray, b: np.ndarray, width: int, most: int) -> int | Non
     return out if out <= most else None
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
+class Bag:
+    """A text's words, and how often each occurs."""
+
+    __slots__ = ("words", "known", "times")
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.known, self.times = np.unique(words, return_counts=True)
+
+
+def alike(x: Bag, y: Bag) -> bool:
     """Are the edits between the word lists at most a fifth of the longer one?"""
+    a, b = x.words, y.words
     n, m = len(a), len(b)
     most = max(n, m) // EDITS
     if abs(n - m) > most:
@@ -177,10 +192,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     if not most:
         return False
     # Edits are at least the words of the longer list that the other has not.
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if max(n, m) - int(np.minimum(ca[ia], cb[ib]).sum()) > most:
+    at = np.minimum(np.searchsorted(y.known, x.known), len(y.known) - 1)
+    if max(n, m) - int(np.minimum(x.times, y.times[at])[y.known[at] == x.known].sum()) > most:
         return False
     width = min(most, max(8, abs(n - m) + 4))
     while True:
@@ -199,30 +212,52 @@ def _sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, values in slices(batch, "text", 2 << 20):
                 words = word_keys(values)
-                seq = [(w & np.uint64(0xFFFF)).astype("<u2").tobytes() for w in words]
+                seq = [(w & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for w in words]
                 keys = [sketch(w) for w in words]
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(seq, pa.binary()), lists], ["doc_id", "h", "seq", "keys"])
+                columns = [*part.columns[:3], pa.array(seq, pa.binary()), lists]
+                yield pa.record_batch(columns, ["row", "doc_id", "h", "seq", "keys"])
 
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("h"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h binary, seq binary, keys array<long>")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.unhex(F.md5(text.cast("binary"))).alias("h"),
+        text.alias("text"),
+    )
+    return rows.mapInArrow(run, "row long, doc_id long, h binary, seq binary, keys array<long>")
 
 
 def _verify(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are alike."""
+    """The pairs (u, v) whose texts are alike.
 
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            ok = [alike(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) for x, y in zip(a, b, strict=True)]
-            kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.record_batch([kept.column(0), kept.column(1)], ["u", "v"])
+    Nodes are dealt to `side` rows and columns of a square of blocks, and a text goes once to each block in which it has
+    pairs, however many these are. The side follows the number of pairs and the bytes of the texts that have some."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    size = ends.join(seqs, "node").agg(F.sum("n")).first()[0] or 0
+    side = max(4, isqrt(pairs.count() // BLOCK_PAIRS), -(-8 * size // BLOCK_BYTES))
+    deal = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(side))
+    dealt = pairs.select("u", "v", (deal("u", 1) * side + deal("v", 2)).alias("block"))
+    needs = dealt.select("block", F.col("u").alias("node")).unionByName(dealt.select("block", F.col("v").alias("node"))).distinct()
+    needs = needs.join(seqs.select("node", "seq"), "node").select(F.col("block").alias("square"), "node", "seq")
+
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        seq = dict(zip(texts.column("node").to_pylist(), texts.column("seq").to_pylist(), strict=True))
+        bags: dict[int, Bag] = {}
 
-    joined = pairs.join(seqs.select(F.col("node").alias("v"), F.col("seq").alias("b")), "v")
-    joined = joined.join(seqs.select(F.col("node").alias("u"), F.col("seq").alias("a")), "u").select("u", "v", "a", "b")
-    return joined.mapInArrow(run, "u long, v long")
+        def bag(node: int) -> Bag:
+            if node not in bags:
+                if len(bags) >= 4096:
+                    bags.clear()
+                bags[node] = Bag(np.frombuffer(seq[node], "<u4"))
+            return bags[node]
+
+        asked = asked.sort_by("u").select(["u", "v"])
+        ok = [alike(bag(x), bag(y)) for x, y in zip(*(c.to_pylist() for c in asked.columns), strict=True)]
+        return asked.filter(pa.array(ok, pa.bool_()))
+
+    return needs.groupBy("square").cogroup(dealt.groupBy("block")).applyInArrow(run, "u long, v long")
 
 
 def _mixed(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -236,7 +271,8 @@ def _mixed(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
         F.min(F.struct("label", "node")).alias("first"), F.max("label").alias("high"), F.count("*").alias("n")
     )
     each = each.where("first.label < high").select("key", F.col("first.label").alias("low"), F.col("first.node").alias("lead"), "n")
-    return named.join(each, "key")
+    # Written, so that the join below deals both sides out by itself and Spark can split the rows of a hot bucket.
+    return named.join(materialize(each), "key")
 
 
 def _all_pairs(found: DataFrame) -> DataFrame:
@@ -292,7 +328,7 @@ def _counts(seqs: DataFrame) -> np.ndarray:
         total, found = np.zeros(1 << COUNTED, np.int64), []
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                found.append((_pairs_of(np.frombuffer(x, "<u2")) >> np.uint64(64 - COUNTED)).astype(np.int64))
+                found.append((_pairs_of(np.frombuffer(x, "<u4")) >> np.uint64(64 - COUNTED)).astype(np.int64))
                 if len(found) >= 2048:
                     total += np.bincount(np.concatenate(found), minlength=1 << COUNTED)
                     found = []
@@ -319,7 +355,7 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 chunk = batch.slice(at, 2048)
-                words = [np.frombuffer(x, "<u2") for x in chunk.column(2).to_pylist()]
+                words = [np.frombuffer(x, "<u4") for x in chunk.column(2).to_pylist()]
                 found = [_rarest(w, counts.value) for w in words]
                 key, place = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
                 part = (key % np.uint64(parts)).astype(np.int64)
@@ -389,23 +425,25 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, class_id) for every row of docs(doc_id, text, ...): h is the md5 of the text, class_id the least
-    doc_id of the row's class.
+    """(doc_id, h, label, class_id) for every row of docs(doc_id, text, ...): h is the md5 of the text, label a number of
+    the row's class, class_id the least doc_id of the class.
 
-    Null text is empty. Texts without words are alike only if equal. Rows of one doc_id share a class. A null doc_id
-    takes part like any other; a class in which all are null is numbered by its text's hash. Repeated rows stay. An empty table
+    Null text is empty. Texts without words are alike only if equal. Rows of one doc_id are judged by their texts, so
+    they can be in several classes, which then can have one class_id but not one label. A null doc_id takes part like
+    any other; a class in which all are null has a hash of its texts as class_id. Repeated rows stay. An empty table
     gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
     rows = materialize(_sketches(docs))
-    texts = rows.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    texts = materialize(texts.select("h", "rep", F.coalesce("rep", F.xxhash64("h")).alias("node")))
-    one = rows.join(texts, (rows.h == texts.h) & rows.doc_id.eqNullSafe(texts.rep)).select("node", "seq", "keys")
+    texts = rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"))
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()))
+    one = rows.select("row", "seq", "keys").join(texts.select("row", "node"), "row")
     # The place of a sketch among the keys is part of its key, so buckets of different sketches stay apart.
     entries = one.select("node", F.posexplode("keys").alias("sketch", "key")).distinct()
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     entries = materialize(entries.join(shared, "key"))
-    seqs = materialize(one.select("node", "seq").where(F.octet_length("seq") > 0))
+    seqs = one.select("node", "seq", F.expr("octet_length(seq) div 4").alias("n")).where("n > 0")
+    seqs = materialize(seqs)
     labels, tested = None, None
 
     def settle(pairs: DataFrame) -> None:
@@ -438,11 +476,12 @@ def classes(docs: DataFrame) -> DataFrame:
     many = found.where(F.col("n") > SMALL)
     settle(_all_pairs(found.where(F.col("n") <= SMALL)).unionByName(star(many)))
     settle(_sharing(seqs, labels))
-    out = rows.select("doc_id", "h").join(texts.select("h", "node"), "h")
-    if labels is None:
-        return out.select("doc_id", "h", F.col("node").alias("class_id"))
-    out = out.join(labels, "node", "left")
-    return out.select("doc_id", "h", F.coalesce("label", "node").alias("class_id"))
+    named = texts.select("h", "node", "rep")
+    named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left")
+    named = materialize(named.select("h", "rep", F.coalesce("label", "node").alias("label")))
+    first = named.groupBy("label").agg(F.coalesce(F.min("rep"), F.xxhash64(F.min("h"))).alias("class_id"))
+    named = named.select("h", "label").join(first, "label")
+    return rows.select("doc_id", "h").join(named, "h").select("doc_id", "h", "label", "class_id")
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,14 +490,16 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document of least id stays (of equal ids, that of least text hash)."""
+    """Pipeline stage: of each class the document of least id stays (null last; of equal ids, that of least text hash)."""
     columns = docs.columns
-    found = classes(docs.select("doc_id", "text"))
-    stay = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
-    md5 = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    marked = docs.withColumn("weft_h", md5).alias("d")
-    kept = marked.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.weft_h") == F.col("s.h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "weft_h"]).select(*columns)
+    md5_col, id_col = fresh(columns, "h"), fresh(columns, "id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    stay = classes(docs.select("doc_id", "text")).groupBy("label").agg(F.min(order).alias("k"))
+    stay = stay.select(F.col("k.doc_id").alias(id_col), F.col("k.h").alias(md5_col))
+    marked = docs.withColumn(md5_col, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col(f"s.{id_col}")) & (F.col(f"d.{md5_col}") == F.col(f"s.{md5_col}"))
+    kept = marked.join(stay.alias("s"), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", md5_col]).select(*(f"`{c}`" for c in columns))
 
 
 QUERIES = {"op3_order_minhash": op3_order_minhash}
