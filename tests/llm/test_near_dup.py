@@ -198,10 +198,16 @@ def test_edits_at_any_places(spark):
     assert len(set(want)) < len(rows) * 0.6 and got_classes(spark, rows) == want
 
 
-def test_long_passage_of_many_texts(spark):
+@pytest.mark.parametrize("block", [500, 25])
+def test_long_passage_of_many_texts(spark, monkeypatch, block):
     """Texts that are mostly one passage: some are alike by what little they add, most are not."""
+    monkeypatch.setattr(nd, "FREQUENT", 4)
+    monkeypatch.setattr(nd, "HEAVY", block)
+    compared = []
+    heavy = nd._heavy
+    monkeypatch.setattr(nd, "_heavy", lambda rows: compared.append(rows.where("part = -1").count()) or heavy(rows))
     rng, passage = np.random.default_rng(13), None
     passage = text(rng, 60)
     rows = [" ".join([*passage, *text(rng, int(n))]) for n in rng.integers(8, 32, 90)]
     rows += [" ".join([*edited(rng, r.split(), 4)]) for r in rows[:15]]
-    assert got_classes(spark, rows) == linked(rows)
+    assert got_classes(spark, rows) == linked(rows) and compared[0] > 60

@@ -13,7 +13,8 @@ have one class by then are done. Of the others, those of at most SMALL nodes com
 The buckets only settle most classes cheaply; edits spread over a text, short texts and texts that share frequent
 passages can fail to meet in them. So at last all texts are compared exactly: each is bucketed by its rarest pairs of
 neighbouring words, so many (less than half) that two texts that are alike must have one in twenty of their words as
-such pairs in common, and all of different classes that do and whose lengths allow it are compared.
+such pairs in common, and all of different classes that do and whose lengths allow it are compared. Frequent word pairs
+are no buckets: texts that are mostly such pairs, and could have no others in common, are compared in blocks (_heavy).
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ FIRST = 6
 SMALL = 12
 #: Bits of the hash by which word pairs are counted.
 COUNTED = 20
+#: Count in the sample above which a word pair is frequent (six times the mean, if that is more), and texts of a block
+#: of those that share frequent word pairs alone.
+FREQUENT, HEAVY = 48, 500
 #: Two texts of n and m words are near-duplicates if EDITS * edits <= max(n, m).
 EDITS = 5
 #: Pairs that a block of comparisons holds about, and bytes of the texts of its rows or columns.
@@ -311,14 +315,16 @@ def _common(n):
     return 1 + np.maximum(0, np.minimum(_least(n) - 1, n // 20))
 
 
-def _rarest(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest word pairs of a text (uint64), so many that texts that are alike have _common of them in common.
+def _rarest(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest word pairs of a text (uint64), so many that texts that are alike have _common of them in common, and
+    how often each counts.
 
     They share _needed(longer) at least, so all but _common - 1 of these cannot be beyond the first n - 1 - _needed +
     _common in any one order that all texts follow."""
     found, n = _pairs_of(words), len(words)
-    order = np.lexsort((found, counts[(found >> np.uint64(64 - COUNTED)).astype(np.int64)]))
-    return found[order[: max(1, n - 1 - int(_least(n)) + int(_common(n)))]]
+    times = counts[(found >> np.uint64(64 - COUNTED)).astype(np.int64)]
+    order = np.lexsort((found, times))[: max(1, n - 1 - int(_least(n)) + int(_common(n)))]
+    return found[order], times[order]
 
 
 def _counts(seqs: DataFrame) -> np.ndarray:
@@ -345,42 +351,53 @@ def _counts(seqs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(u, v): all pairs of texts of different classes that can be alike by their lengths and rarest word pairs."""
-    counts = seqs.sparkSession.sparkContext.broadcast(_counts(seqs))
+def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(u, v): all pairs of texts of different classes that can be alike by their lengths and rarest word pairs, but for
+    those that share frequent word pairs alone; and the rows of `emit`, among them the texts for _heavy."""
+    counts = _counts(seqs)
+    frequent = max(FREQUENT, 6 * int(counts[counts > 0].mean())) if counts.any() else FREQUENT
+    counts = seqs.sparkSession.sparkContext.broadcast(counts)
 
     parts = seqs.count() // 4000 + 1
 
+    def row(part: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        cells = [pa.array([part], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
+        return pa.record_batch(cells, ["part", "key", "nth", "node", "label", "n", "hot"])
+
     def emit(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 chunk = batch.slice(at, 2048)
                 words = [np.frombuffer(x, "<u4") for x in chunk.column(2).to_pylist()]
-                found = [_rarest(w, counts.value) for w in words]
+                size = np.array([len(w) for w in words], np.int32)
+                some = [_rarest(w, counts.value) for w in words]
+                found, often = [k[t <= frequent] for k, t in some], [k[t > frequent] for k, t in some]
+                hot = np.array([len(k) for k in often], np.int32)
+                node, label = (chunk.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+                heavy = np.flatnonzero(hot >= _common(size))
+                for i in heavy:
+                    columns = [often[i], words[i], *(c[i : i + 1] for c in (node, label, size, hot))]
+                    yield row(-1, columns)
                 key, place = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
                 part = (key % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 key, place = key[order], place[order]
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
-                node, label = (chunk.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-                size = np.array([len(w) for w in words], np.int32)
                 for k in range(parts):
                     x, y = ends[k], ends[k + 1]
                     if x < y:
                         some, nth = np.unique(place[x:y], return_inverse=True)
-                        columns = [key[x:y], nth.astype(np.uint16), node[some], label[some], size[some]]
-                        row = [pa.array([k], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
-                        yield pa.record_batch(row, ["part", "key", "nth", "node", "label", "n"])
+                        yield row(k, [key[x:y], nth.astype(np.uint16), node[some], label[some], size[some], hot[some]])
 
     def meet(batches):
         rows = []
         for batch in batches:
             for key, nth, *of in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 nth = np.frombuffer(nth, np.uint16)
-                rows.append((np.frombuffer(key, np.uint64), *(np.frombuffer(x, t)[nth] for x, t in zip(of, ("i8", "i8", "i4")))))
+                rows.append((np.frombuffer(key, np.uint64), *(np.frombuffer(x, t)[nth] for x, t in zip(of, ("i8", "i8", "i4", "i4")))))
         if not rows:
             return
-        key, node, label, n = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        key, node, label, n, hot = (np.concatenate([r[i] for r in rows]) for i in range(5))
         del rows
         order = np.argsort(key, kind="stable")
         same = key[order]
@@ -388,9 +405,8 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
         more[1:] = same[1:] == same[:-1]
         more[:-1] |= more[1:]
         order = order[more]
-        key, node, label, n = key[order], node[order], label[order], n[order]
-        order = np.lexsort((node, label, key))
-        key, node, label, n = key[order], node[order], label[order], n[order]
+        order = order[np.lexsort((node[order], label[order], key[order]))]
+        key, node, label, n, hot = key[order], node[order], label[order], n[order], hot[order]
         if not len(key):
             return
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
@@ -407,21 +423,103 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> DataFrame:
             longer = np.maximum(n[u], n[v])
             near = longer - np.minimum(n[u], n[v]) <= longer // EDITS
             u, v = u[near], v[near]
-            pairs = np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v]), np.minimum(common[u], common[v])])
+            due = np.minimum(common[u], common[v]) - np.minimum(hot[u], hot[v])  # of the rare ones, if all frequent ones are shared
+            pairs = np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v]), due])
             pairs = pairs[:, np.lexsort(pairs[:2])]
             start = np.flatnonzero(np.append(True, (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0))) if len(u) else u
             met = np.diff(np.append(start, len(u)))
-            yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in (*pairs[:, start], met))], ["u", "v", "common", "met"])
+            yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in (*pairs[:, start], met))], ["u", "v", "due", "met"])
             at = to
 
     if labels is None:
         named = seqs.select("node", F.col("node").alias("label"), "seq")
     else:
         named = seqs.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "seq")
-    rows = named.mapInArrow(emit, "part int, key binary, nth binary, node binary, label binary, n binary")
-    pairs = rows.repartition(parts, "part").mapInArrow(meet, "u long, v long, common long, met long")
-    pairs = pairs.groupBy("u", "v").agg(F.sum("met").alias("met"), F.min("common").alias("common"))
-    return pairs.where("met >= common").select("u", "v")
+    rows = materialize(named.mapInArrow(emit, "part int, key binary, nth binary, node binary, label binary, n binary, hot binary"))
+    rare = rows.where("part >= 0").repartition(parts, "part").mapInArrow(meet, "u long, v long, due long, met long")
+    pairs = rare.groupBy("u", "v").agg(F.sum("met").alias("met"), F.min("due").alias("due"))
+    return pairs.where("met >= due").select("u", "v"), rows
+
+
+def _heavy(rows: DataFrame) -> DataFrame:
+    """(u, v): the links between texts of different classes that have no rare word pair in common.
+
+    Such texts consist mostly of frequent word pairs (passages that many hold) and share _common of them at least. They
+    are dealt into blocks by length; each two blocks whose lengths allow it are one task, which counts shared word
+    pairs by products of matrices, compares what is left, and returns nothing but links. So no pair leaves a task,
+    but the time grows with the square of the number of such texts of about one length."""
+    text = rows.where("part = -1").select("key", F.col("nth").alias("seq"), "node", "label", (F.octet_length("nth") / 4).cast("int").alias("n"))
+    count = text.count()
+    schema = "u long, v long"
+    if count < 2:
+        return rows.sparkSession.createDataFrame([], schema)
+    blocks = -(-count // HEAVY)
+    edges = text.approxQuantile("n", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+    edges = sorted({int(e) for e in edges})  # a number for each block
+    low = [0, *(e + 1 for e in edges)]
+    # Texts of one length can be more than a block holds: such a block is cut further, by hash.
+    block = sum((F.col("n") > e).cast("int") for e in edges) if edges else F.lit(0)
+    sizes = {r["b"]: r["c"] for r in text.groupBy(block.alias("b")).agg(F.count("*").alias("c")).collect()}
+    cut = {b: -(-c // (2 * HEAVY)) for b, c in sizes.items()}
+    high = [*edges, 1 << 62]
+    places = [(b, k) for b in sorted(cut) for k in range(cut[b])]
+    squares: dict[tuple, list[int]] = {p: [] for p in places}
+    n_squares = 0
+    for i, p in enumerate(places):
+        for q in places[i:]:
+            if low[q[0]] - high[p[0]] <= low[q[0]] // EDITS or p[0] == q[0]:
+                for x in {p, q}:
+                    squares[x].append(2 * n_squares + (x == q))
+                n_squares += 1
+    plan = rows.sparkSession.createDataFrame([(b, k, v) for (b, k), v in squares.items()], "b int, k long, squares array<long>")
+    spread = plan.groupBy("b").agg(F.max("k").alias("most"))
+    dealt = text.withColumn("b", block.cast("int")).join(spread, "b")
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("node"), F.col("most") + 1)).join(plan, ["b", "k"])
+    dealt = dealt.select(F.explode("squares").alias("s"), "key", "seq", "node", "label")
+    dealt = dealt.select((F.col("s").bitwiseAND(F.lit(1)) == 1).alias("right"), F.shiftright("s", 1).alias("square"), "key", "seq", "node", "label")
+
+    def run(square: pa.Table) -> pa.Table:
+        right = square.column("right").to_numpy()
+        node, label = (square.column(c).combine_chunks() for c in ("node", "label"))
+        node, label = (np.array([np.frombuffer(x, "i8")[0] for x in c.to_pylist()], np.int64) for c in (node, label))
+        keys = [np.frombuffer(x, "u8") for x in square.column("key").to_pylist()]
+        words = [np.frombuffer(x, "<u4") for x in square.column("seq").to_pylist()]
+        a, b = np.flatnonzero(~right), np.flatnonzero(right)
+        alone = not len(a)  # a block with itself
+        a = b if alone else a
+        size = np.array([len(w) for w in words])
+        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        place = np.empty(len(keys), np.int64)
+        met = np.zeros((len(a), len(b)), np.float32)
+        in_a, in_b = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        in_a[a], in_b[b] = True, True
+        for first in range(0, len(known), 4096):
+            x, y = np.searchsorted(at, [first, first + 4096])
+            sides = []
+            for side, member in ((a, in_a), (b, in_b)):
+                place[side] = np.arange(len(side))
+                own = member[owner[x:y]]
+                m = np.zeros((len(side), min(4096, len(known) - first)), np.float32)
+                m[place[owner[x:y][own]], at[x:y][own] - first] = 1
+                sides.append(m)
+            met += sides[0] @ sides[1].T
+        longer = np.maximum(size[a][:, None], size[b][None, :])
+        near = longer - np.minimum(size[a][:, None], size[b][None, :]) <= longer // EDITS
+        common = _common(size)
+        near &= met >= np.minimum(common[a][:, None], common[b][None, :])
+        near &= label[a][:, None] != label[b][None, :]
+        if alone:
+            near &= node[a][:, None] < node[b][None, :]
+        bags: dict[int, Bag] = {}
+        bag = lambda i: bags.get(i) or bags.setdefault(i, Bag(words[i]))
+        links = [(a[i], b[j]) for i, j in zip(*np.nonzero(near), strict=True) if alike(bag(a[i]), bag(b[j]))]
+        u, v = (np.array([node[x[i]] for x in links], np.int64) for i in (0, 1))
+        return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return dealt.groupBy("square").applyInArrow(run, schema)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -454,7 +552,10 @@ def classes(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = materialize(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = materialize(_verify(pairs, seqs))
+        join_classes(materialize(_verify(pairs, seqs)))
+
+    def join_classes(links: DataFrame) -> None:
+        nonlocal labels
         if links.isEmpty():
             return
         if labels is None:
@@ -475,7 +576,9 @@ def classes(docs: DataFrame) -> DataFrame:
     found = materialize(_mixed(entries.select("key", "node"), labels))
     many = found.where(F.col("n") > SMALL)
     settle(_all_pairs(found.where(F.col("n") <= SMALL)).unionByName(star(many)))
-    settle(_sharing(seqs, labels))
+    pairs, rows_of = _sharing(seqs, labels)
+    settle(pairs)
+    join_classes(materialize(_heavy(rows_of)))
     named = texts.select("h", "node", "rep")
     named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left")
     named = materialize(named.select("h", "rep", F.coalesce("label", "node").alias("label")))
