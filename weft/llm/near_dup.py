@@ -175,13 +175,49 @@ def _rows_band(a: np.ndarray, b: np.ndarray, width: int, most: int) -> int | Non
 
 
 class Bag:
-    """A text's words, and how often each occurs."""
+    """A text's words, how often each occurs, and where (a bit a place)."""
 
-    __slots__ = ("words", "known", "times")
+    __slots__ = ("words", "known", "times", "_where")
 
     def __init__(self, words: np.ndarray):
         self.words = words
         self.known, self.times = np.unique(words, return_counts=True)
+        self._where = None
+
+    @property
+    def where(self) -> dict[int, int]:
+        if self._where is None:
+            self._where = dict.fromkeys(self.known.tolist(), 0)
+            for i, w in enumerate(self.words.tolist()):
+                self._where[w] |= 1 << i
+        return self._where
+
+
+def _in_order(x: Bag, y: Bag) -> int:
+    """Length of the longest common subsequence of words, a bit of a whole number for each place of x."""
+    full = rest = (1 << len(x.words)) - 1
+    where = x.where
+    for w in y.words.tolist():
+        at = where.get(w)
+        if at:
+            hit = rest & at
+            rest = (rest + hit) | (rest - hit)
+    return len(x.words) - (rest & full).bit_count()
+
+
+class _Sets:
+    """Which nodes a task has found to be of one class: what links them already needs no further comparison."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
 
 
 def alike(x: Bag, y: Bag) -> bool:
@@ -197,16 +233,21 @@ def alike(x: Bag, y: Bag) -> bool:
         return False
     # Edits are at least the words of the longer list that the other has not.
     at = np.minimum(np.searchsorted(y.known, x.known), len(y.known) - 1)
-    if max(n, m) - int(np.minimum(x.times, y.times[at])[y.known[at] == x.known].sum()) > most:
+    apart = max(n, m) - int(np.minimum(x.times, y.times[at])[y.known[at] == x.known].sum())
+    if apart > most:
+        return False
+    # Edits are also at least the words that no common subsequence holds; sought first where few hopes are left.
+    ordered = 2 * apart > most
+    if ordered and max(n, m) - _in_order(x, y) > most:
         return False
     width = min(most, max(8, abs(n - m) + 4))
     while True:
         method = _band if (2 * width + 1) * n <= 3_000_000 else _rows_band
         if method(a, b, width, most) is not None:
             return True
-        if width >= most:
+        if width >= most or not ordered and max(n, m) - _in_order(x, y) > most:
             return False
-        width = min(most, width * 4)
+        width, ordered = min(most, width * 4), True
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -234,7 +275,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are alike.
+    """Pairs (u, v) whose texts are alike, as many as join the classes that all pairs that are alike join.
 
     Nodes are dealt to `side` rows and columns of a square of blocks, and a text goes once to each block in which it has
     pairs, however many these are. The side follows the number of pairs and the bytes of the texts that have some."""
@@ -257,8 +298,15 @@ def _verify(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
                 bags[node] = Bag(np.frombuffer(seq[node], "<u4"))
             return bags[node]
 
-        asked = asked.sort_by("u").select(["u", "v"])
-        ok = [alike(bag(x), bag(y)) for x, y in zip(*(c.to_pylist() for c in asked.columns), strict=True)]
+        asked, sets = asked.sort_by([("u", "ascending"), ("v", "ascending")]).select(["u", "v"]), _Sets()
+
+        def link(x: int, y: int) -> bool:
+            if sets.find(x) == sets.find(y) or not alike(bag(x), bag(y)):
+                return False
+            sets.join(x, y)
+            return True
+
+        ok = [link(x, y) for x, y in zip(*(c.to_pylist() for c in asked.columns), strict=True)]
         return asked.filter(pa.array(ok, pa.bool_()))
 
     return needs.groupBy("square").cogroup(dealt.groupBy("block")).applyInArrow(run, "u long, v long")
@@ -496,6 +544,9 @@ def _heavy(rows: DataFrame) -> DataFrame:
         met = np.zeros((len(a), len(b)), np.float32)
         in_a, in_b = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         in_a[a], in_b[b] = True, True
+        both = np.bincount(at, minlength=len(known))[at] > 1  # a word pair of one text is no one else's
+        known, at = np.unique(at[both], return_inverse=True)
+        owner = owner[both]
         for first in range(0, len(known), 4096):
             x, y = np.searchsorted(at, [first, first + 4096])
             sides = []
@@ -515,7 +566,11 @@ def _heavy(rows: DataFrame) -> DataFrame:
             near &= node[a][:, None] < node[b][None, :]
         bags: dict[int, Bag] = {}
         bag = lambda i: bags.get(i) or bags.setdefault(i, Bag(words[i]))
-        links = [(a[i], b[j]) for i, j in zip(*np.nonzero(near), strict=True) if alike(bag(a[i]), bag(b[j]))]
+        links, sets = [], _Sets()
+        for x, y in ((a[i], b[j]) for i, j in zip(*np.nonzero(near), strict=True)):
+            if sets.find(label[x]) != sets.find(label[y]) and alike(bag(x), bag(y)):
+                sets.join(label[x], label[y])
+                links.append((x, y))
         u, v = (np.array([node[x[i]] for x in links], np.int64) for i in (0, 1))
         return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
