@@ -44,6 +44,39 @@ def test_parts_of_unequal_length():
         assert H.main_text(page(f"{start}{divs}{end}")) == f"{long * 9}\nShort.\nShorter."
 
 
+def test_parts_named_like_boilerplate():
+    assert H.main_text(page("<article><header><h1>Head</h1></header><p>One, two.</p></article>")) == "Head\nOne, two."
+    for part in ("section id=privacy", "div class='related-work'", "section class=discussion", "div class='ad-hoc-networks'"):
+        inner = f"<article><p>One, two.</p><{part}><p>Three, four, of some length.</p></{part.split()[0]}></article>"
+        assert H.main_text(page(inner)) == "One, two.\nThree, four, of some length."
+    links = "<div class='related-work'><a href=a>One thing, or other</a> <a href=b>And more</a></div>"
+    notices = "".join(f"<div class='{c}'>Some words, and more.</div>" for c in ("ad", "ad-slot-3", "cookie-notice", "share-links", "comments list"))
+    assert H.main_text(page(f"<article><p>One, two.</p>{links}{notices}</article>")) == "One, two."
+
+
+def test_pages_without_articles():
+    """Nothing but the scores tells what is the article here."""
+    long = ["A paragraph, with commas, and words, enough of them, to count, as the text goes on and on." * k for k in (3, 2, 4)]
+    text = "".join(f"<p>{p}</p>" for p in long)
+    want = "\n".join(long)
+    links = "".join(f"<p><a href=x{i}>Another story, with a long title, and commas, to read</a></p>" for i in range(9))
+    blurb = "<div><p>Who we are.</p><p>Write to us.</p></div>"
+    for wrap in ("div class='layout with-sidebar'", "div class=x7", "div id=header-and-body"):
+        for content in ("div", "div class=c1", "td"):
+            inner = f"<{wrap}><div>{links}</div><{content}>{text}</{content}>{blurb}</{wrap.split()[0]}>"
+            assert H.main_text(f"<html><body>{inner}<div>All rights, reserved.</div></body></html>") == want
+    deep = "<div>" * 40 + text + "</div>" * 40
+    assert H.main_text(f"<body><div>{links}</div>{deep}{blurb}</body>") == want
+
+
+def test_scores_decide(monkeypatch):
+    monkeypatch.setattr(H, "_CONTAINER", frozenset())  # no container gets points: the root is the best
+    long = "A paragraph, with commas, and words, enough of them, to count, as the text goes on and on." * 3
+    assert H.main_text(f"<body><div><p>Who we are.</p></div><div><p>{long}</p></div></body>") != long
+    monkeypatch.undo()
+    assert H.main_text(f"<body><div><p>Who we are.</p></div><div><p>{long}</p></div></body>") == long
+
+
 def test_odd_pages():
     assert H.main_text(None) == H.main_text("") == H.main_text("<html><script>x") == ""
     assert H.main_text("just text, no markup & such") == "just text, no markup & such"

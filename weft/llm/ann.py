@@ -25,9 +25,9 @@ from .common import materialize, read, ship
 CELLS = 64
 #: Vectors on which the centroids are fitted, and rounds of k-means.
 SAMPLE, ROUNDS = 8192, 12
-#: Share of the distinct vectors that a query's cells hold at least, and the least number of them.
-FRACTION, LEAST = 0.45, 1000
-ROW_BLOCK, QUERY_BLOCK = 16_384, 2048
+#: Share of the distinct vectors that a query's cells hold at least.
+FRACTION = 0.45
+ROW_BLOCK, QUERY_BLOCK = 16_384, 16_384
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -76,7 +76,6 @@ def search(
     k: int = 20,
     cells: int = CELLS,
     fraction: float = FRACTION,
-    least: int = LEAST,
     sample: int = SAMPLE,
 ) -> DataFrame:
     """The k nearest of `vectors` found for each of `queries`, both (vec_id, embedding): query_id, rank, vec_id, score.
@@ -119,7 +118,7 @@ def search(
     held = np.zeros(n_cells, np.int64)
     for r in indexed.groupBy("cell", F.xxhash64("embedding")).agg(F.lit(1)).groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]  # a row a cell
-    enough = max(least, int(np.ceil(fraction * held.sum())))
+    enough = max(4 * k, int(np.ceil(fraction * held.sum())))  # 4 * k: few vectors still give k neighbours
 
     def route(batches):
         for batch in batches:

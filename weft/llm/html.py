@@ -1,11 +1,15 @@
 """Main text of web pages by tree scoring.
 
-A page is read once into nodes and blocks of text. Boilerplate elements (by tag, role, hidden attributes, or words of
-class and id) take no part. Each block gives its container one point, one for every comma and up to three for length,
-less its share of link text; the container's parent gets half, its grandparent a third, and so on. The container with
-most points, discounted by its own link density, is the main one, or else the article, main or promising container
-around it, of which it may be just one section; siblings with enough points, headings and
+A page is read once into nodes and blocks of text. Each block gives its container one point, one for every comma and up
+to three for length, less its share of link text; a container hands half of its points on to the container around it.
+The container with most points, discounted by its own link density, is the main one, or else the article, main or
+promising container around it, of which it may be just one section; siblings with enough points, headings and
 paragraphs beside it are kept with it. Lists of links inside it go.
+
+Elements that cannot be article text (by tag, role, hidden attributes, or names of class and id that say only so) take
+no part. Names that may say so (`related-work`, an article's `header`) leave it to the score: such a part hands on a
+quarter of its points, and stays inside the main container if it has hardly any links and either a fair share of the
+points or the headline.
 """
 
 from __future__ import annotations
@@ -48,6 +52,14 @@ _GONE_WORDS = frozenset(
     "related replies reply respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe "
     "subscription teaser toolbar widget widgets".split()
 )
+#: Words that stand beside those without changing what they say. Fixed values.
+_PLAIN_WORDS = frozenset(
+    "area article bar block body bottom box button buttons center col column container content entry fixed group inner "
+    "item items left link links list main message module outer page panel post posts right row section slot story text "
+    "title top unit wrap wrapper zone".split()
+)
+#: Of the words that mark what is not the article, those that can name a part of one. Fixed values.
+_OPEN_WORDS = frozenset("disclaimer discussion header privacy related respond skip".split())
 _GOOD_WORDS = frozenset("article body content entry main page post story text".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}}
 _CLOSES |= {"td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
@@ -59,40 +71,50 @@ _WORDS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "block", "gone", "good", "points", "chars", "link_chars", "links", "order")
+    __slots__ = ("tag", "parent", "block", "gone", "doubt", "good", "inside", "headline", "points", "chars", "link_chars", "links", "order")
 
-    def __init__(self, tag: str, parent: _Node | None, gone: bool, good: bool, order: int):
-        self.tag, self.parent, self.gone, self.good, self.order = tag, parent, gone, good, order
+    def __init__(self, tag: str, parent: _Node | None, gone: bool, doubt: bool, good: bool, order: int):
+        self.tag, self.parent, self.gone, self.doubt, self.good, self.order = tag, parent, gone, doubt, good, order
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.headline = tag == "h1"
         self.block = self if parent is None or tag in _BLOCK else parent.block
         self.points = 0.0
         self.chars = self.link_chars = self.links = 0
 
 
-def _judge(tag: str, raw: str) -> tuple[bool, bool]:
-    """(boilerplate, promising) by tag and attributes."""
-    if tag in _GONE:
-        return True, False
+def _judge(tag: str, raw: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(boilerplate, perhaps boilerplate, promising) by tag, attributes and whether it stands in an article."""
+    doubt = tag == "header" and inside
+    if tag in _GONE and not doubt:
+        return True, False, False
     if not raw or raw.isspace():
-        return False, False
-    words: set[str] = set()
+        return False, doubt, False
+    gone, good = False, False
     for name, value in _ATTR.findall(raw):
         name = name.lower()
         value = unescape(value.strip("\"'"))
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORDS.split(value))
+            for one in value.split():
+                words = {w.lower() for w in _WORDS.split(one) if w}
+                good |= bool(words & _GOOD_WORDS)
+                if marks := words & _GONE_WORDS:
+                    rest = {w for w in words - marks - _PLAIN_WORDS if not any(c.isdigit() for c in w)}
+                    perhaps = bool(rest) or inside and marks <= _OPEN_WORDS
+                    gone, doubt = gone or not perhaps, doubt or perhaps
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, False, False
         elif name == "role" and value.strip().lower() in _GONE_ROLES:
-            return True, False
+            return True, False, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
-    gone = bool(words & _GONE_WORDS) and tag not in ("html", "body", "article", "main")
-    return gone, bool(words & _GOOD_WORDS)
+            return True, False, False
+    if tag in ("html", "body", "article", "main"):
+        return False, False, good
+    return gone, doubt, good
 
 
 class _Page:
     def __init__(self, html: str):
-        self.root = _Node("html", None, False, False, 0)
+        self.root = _Node("html", None, False, False, False, 0)
         self.nodes, self.stack = [self.root], [self.root]
         self.open: Counter = Counter()
         self.blocks: list[tuple[str, _Node]] = []
@@ -122,13 +144,7 @@ class _Page:
         owner.chars += size
         owner.link_chars += linked
         owner.links += linked > 0
-        points = (1 + text.count(",") + min(size / 100, 3)) * (1 - linked / size)
-        at, steps, node = 0, 0, owner
-        while node is not None and at < 8 and steps < 32:
-            if node.tag in _CONTAINER:
-                at += 1
-                node.points += points / at
-            node, steps = node.parent, steps + 1
+        owner.points += (1 + text.count(",") + min(size / 100, 3)) * (1 - linked / size)
 
     def _pop(self) -> None:
         node = self.stack.pop()
@@ -165,8 +181,8 @@ class _Page:
             self._close_to(("a",), _CELLS)
             self.in_link += 1
         up = self.stack[-1]
-        gone, good = _judge(tag, raw)
-        node = _Node(tag, up, up.gone or gone, good, len(self.nodes))
+        gone, doubt, good = _judge(tag, raw, up.inside)
+        node = _Node(tag, up, up.gone or gone, doubt, good, len(self.nodes))
         self.nodes.append(node)
         self.stack.append(node)
         self.open[tag] += 1
@@ -216,7 +232,7 @@ class _Page:
                 around.append(n)
             n = n.parent
         named = [n for n in around if n.tag in ("article", "main")]
-        return next(iter(named or [n for n in around if n.good]), best)
+        return next(iter(named or [n for n in around if n.good and not n.doubt]), best)
 
     def text(self) -> str:
         if not self.blocks:
@@ -226,9 +242,11 @@ class _Page:
                 n.parent.chars += n.chars
                 n.parent.link_chars += n.link_chars
                 n.parent.links += n.links
+                n.parent.headline |= n.headline and n.chars > 0
+                n.parent.points += n.points * (0.5 if n.tag in _CONTAINER else 1.0) * (0.25 if n.doubt else 1.0)
 
         def worth(n: _Node) -> float:
-            bonus = 1.25 if n.good or n.tag in ("article", "main") else 1.0
+            bonus = 0.25 if n.doubt else 1.25 if n.good or n.tag in ("article", "main") else 1.0
             return n.points * bonus * (1 - n.link_chars / n.chars) if n.chars else 0.0
 
         scored = [n for n in self.nodes if n.tag in _CONTAINER and n.chars]
@@ -247,6 +265,8 @@ class _Page:
             inside = id(n) in keep or n.parent is not None and state[id(n.parent)]
             if inside and n is not best and n.tag in ("ul", "ol", "dl", "table", "div", "section") and n.links >= 3:
                 inside = n.link_chars <= 0.5 * n.chars
+            if inside and n is not best and n.doubt:
+                inside = n.link_chars <= 0.1 * n.chars and (n.headline or n.points >= 0.05 * best.points)
             state[id(n)] = inside
         loose = [t for t, owner in self.blocks if state[id(owner)]]
         return "\n".join(loose)
