@@ -73,3 +73,31 @@ def test_copies_and_repositories(spark):
     assert got[1] == got[2] == ([LIVE], 0)
     assert all(got[10 + k] == ([], 1) for k in range(12))
     assert got[30] == ([letters], 0) and got[31] == ([], 0)
+
+
+def test_query_columns(spark, tmp_path):
+    """Every column of op10 against brute force, a text with very many matches among them."""
+    many = "".join(f"x{'%024x' % (i * 7919)} password=p{i:06d} " for i in range(3000))
+    rows = [*ROWS, (40, many, "d", "en"), (41, "secret=hunter2222 " * 700, "d", "en"), (42, "token: EXAMPLE0", "e", "en"), (43, "token: EXAMPLE0", "f", "en")]
+    rows[-1] = (43, "other words here, token: EXAMPLE0 at last", "f", "en")
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in secrets.op10_secret_ownership(spark, str(tmp_path)).collect()]
+    names, want = secrets.KINDS, []
+    for d, text, *_ in rows:
+        base = brute(text)
+        added = [(m.start(), 3, m.end()) for m in re.finditer(LIVE, text or "")]
+        joined = [",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans) for spans in (base, sorted(base + added))]
+        count = [sum(k == kind for _, k, _ in base) for kind in range(3)]
+        want.append((d, *count, hashlib.sha256(joined[0].encode()).hexdigest(), joined[1]))
+    key = lambda r: (r[0] is None, r[0] or 0, r[5])
+    assert sorted((r[:6] for r in got), key=key) == sorted(want, key=key)
+    live = {r[0]: r[6] for r in got}
+    assert live[42] == live[43] == 0 and live[3] == len(brute(ROWS[2][1])) and live[5] == 0
+
+
+def test_stage_keeps_all_columns(spark):
+    rows = [(1, "password=hunter22 é", 99, "a", "en"), (2, "clean", 5, "b", None), (3, None, None, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, source string, lang string").selectExpr("*", "7 AS rules", "'k' AS doc")
+    out = secrets.stage(spark, df, "")
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert sorted(tuple(r)[:3] for r in out.collect()) == [(1, "[secret] é", 10), (2, "clean", 5), (3, None, None)]

@@ -5,7 +5,8 @@ Four kinds of spans are found in whole texts. Three are rules (`assign`, `access
 candidate. Candidates' hashes are counted over the corpus by distinct documents, repositories and owners, near-copies of
 one document counting once, with one of their owners and repositories: a value that documents of several owners or of
 many repositories hold is a copied example, any other one is live-looking. Only live-looking candidates
-that overlap no rule's span become spans. (Rule spans carry the same verdict, but are kept whatever it is.)
+that overlap no rule's span become spans. Values of rule spans get the same verdict, which tells live-looking
+credentials from copied examples among them; they stay spans either way.
 
 Values are pre-aggregated by (value, document sketch) before anything meets; verdicts go back to documents through
 a join on (value, salt), so a value that a third of the documents hold is spread over SALTS keys.
@@ -41,6 +42,16 @@ SEEDS = 6
 #: has few digits.
 ENTROPY, SWITCHES = 3.5, 0.35
 SALTS = 16
+#: Matches that are placed together; a text's places then take time in proportion to FOLD times its matches.
+FOLD = 256
+
+
+def _let(value: Column, f) -> Column:
+    """f(value) with value worked out once: inside the lambdas of f an expression would be worked out for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -50,11 +61,10 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     value = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)) if group else whole
     between = F.split(text, pattern, -1)
-    empty = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("found"),
-    )
     pairs = F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(between, F.lit(1), F.size(whole)).alias("b"))
+    firsts = lambda p: F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0)), F.lit(FOLD))
+    parts = _let(pairs, lambda p: F.transform(firsts(p), lambda i: F.slice(p, i + 1, FOLD)))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
@@ -63,7 +73,18 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         found = F.when(F.length(x["v"]) >= least, F.array_append(acc["found"], span)).otherwise(acc["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda a: a["found"])).otherwise(empty["found"])
+    def shifted(spans: Column, by: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value")),
+        )
+
+    def chain(acc: Column, part: Column) -> Column:
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.array_append(acc["found"], shifted(part["found"], acc["at"])).alias("found"))
+
+    placed = F.transform(parts, lambda p: F.aggregate(p, empty, step))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("found"))
+    return F.when(text.rlike(pattern), F.flatten(F.aggregate(placed, none, chain, lambda a: a["found"]))).otherwise(empty["found"])
 
 
 def _random_looking(v: Column) -> Column:
@@ -84,9 +105,11 @@ def _random_looking(v: Column) -> Column:
 
 def _sketch(text: Column) -> Column:
     """array<long>: for each of SEEDS the least hash of the text's three-word runs."""
-    words = F.split(F.lower(text), r"\s+")
-    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3)))
-    return F.transform(F.array(*map(F.lit, range(SEEDS))), lambda seed: F.array_min(F.transform(run, lambda h: F.xxhash64(h, seed))))
+    at = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(3)))
+    upto = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0)))
+    runs = _let(F.split(F.lower(text), r"\s+"), lambda w: F.transform(upto(w), lambda i: at(w, i)))
+    least = lambda r, seed: F.array_min(F.transform(r, lambda h: F.xxhash64(h, seed)))
+    return _let(runs, lambda r: F.transform(F.array(*map(F.lit, range(SEEDS))), lambda seed: least(r, seed)))
 
 
 def _joined(spans: Column) -> Column:
@@ -119,9 +142,9 @@ def scan(
     owners: int = OWNERS,
     carry: bool = False,
 ) -> DataFrame:
-    """A row for each row of docs: doc_id, rules (its rule spans), added (its live-looking token spans), n_copied
-    (candidates left out as copied examples); spans are structs (start, kind, end, value) in order. With carry, only
-    rows with a rule span or a candidate, and their whole row of docs as struct `doc`.
+    """A row for each row of docs: doc_id, rules (its rule spans), live_rules (those of them that look live), added (its
+    live-looking token spans), n_copied (candidates left out as copied examples); spans are structs (start, kind, end,
+    value) in order. With carry, also the row of docs as struct `doc`.
 
     Null text is empty. A null owner is an owner of its own. Repeated rows are scanned each, and as copies of one
     document they do not make a value copied, whoever holds them. An empty table gives no rows; other columns are ignored.
@@ -139,12 +162,11 @@ def scan(
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []),
     )
     found = found.withColumn("tokens", _clear(F.col("tokens"), F.col("rules")))
-    found = found.withColumn("sketch", F.when(F.size("tokens") > 0, _sketch(F.col("body")))).drop("body")
-    if carry:
-        found = found.where(F.size("rules") + F.size("tokens") > 0)
-    # The text goes no further; row numbers are fixed by being written.
+    found = found.withColumn("sketch", F.when(F.size("rules") + F.size("tokens") > 0, _sketch(F.col("body")))).drop("body")
+    # Texts are scanned once; row numbers are fixed by being written.
     found = materialize(found)
-    hits = found.where(F.size("tokens") > 0).select("row", "owner", "repo", "sketch", F.explode("tokens").alias("t"))
+    some = F.size("rules") + F.size("tokens") > 0
+    hits = found.where(some).select("row", "owner", "repo", "sketch", F.explode(F.concat("rules", "tokens")).alias("t"))
     hits = hits.withColumn("hash", F.sha2(F.col("t.value"), 256))
     # Near-copies agree in one seed or more, so of the seeds the one that tells fewest documents apart counts.
     held = hits.select("hash", "owner", "repo", F.posexplode("sketch").alias("seed", "doc"))
@@ -157,18 +179,16 @@ def scan(
     hits = hits.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     judged = hits.join(salted, ["hash", "salt"])
     live = (F.col("owners") <= owners) & (F.col("repos") <= REPOS)
+    token = F.col("t.kind") == F.lit(KINDS.index("token"))
     per_row = judged.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(live, F.col("t")))).alias("added"),
-        F.count_if(~live).alias("n_copied"),
-    )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return found.join(per_row, "row", "left").select(
-        "doc_id",
-        "rules",
-        F.coalesce("added", none).alias("added"),
-        F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
-        *(["doc"] if carry else []),
+        F.array_sort(F.collect_list(F.when(live & token, F.col("t")))).alias("added"),
+        F.array_sort(F.collect_list(F.when(live & ~token, F.col("t")))).alias("live_rules"),
+        F.count_if(~live & token).alias("n_copied"),
     )
+    none = F.array().cast(_SPANS)
+    clean = found.where(~some).select("*", none.alias("added"), none.alias("live_rules"), F.lit(0).cast("long").alias("n_copied"))
+    out = found.where(some).join(per_row, "row").unionByName(clean)
+    return out.select("doc_id", "rules", "live_rules", "added", "n_copied", *(["doc"] if carry else []))
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
@@ -187,15 +207,17 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every rule span and every live-looking token is replaced by a mark, and n_chars follows."""
-    rules, tokens = _find(F.coalesce("text", F.lit("")))
-    flagged = docs.withColumns({"weft_rules": rules, "weft_tokens": tokens})
-    clean = (F.size("weft_rules") == 0) & (F.size(_clear(F.col("weft_tokens"), F.col("weft_rules"))) == 0)
-    found = scan(docs, carry=True).select("doc.*", F.array_sort(F.concat("rules", "added")).alias("weft_spans"))
-    found = found.withColumn("text", redact(F.col("text"), F.col("weft_spans")))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.size("weft_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        found = found.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return flagged.where(clean).select(*docs.columns).unionByName(found.select(*docs.columns))
+    found = scan(docs, carry=True).select("doc", F.array_sort(F.concat("rules", "added")).alias("spans"))
+    some = F.size("spans") > 0
+    columns = []
+    for f in docs.schema.fields:
+        old = F.col("doc")[f.name]
+        if f.name == "text":
+            old = F.when(some, redact(old, F.col("spans"))).otherwise(old)
+        elif f.name == "n_chars":
+            old = F.when(some, F.length(redact(F.col("doc")["text"], F.col("spans")))).otherwise(old).cast(f.dataType)
+        columns.append(old.alias(f.name))
+    return found.select(*columns)
 
 
 def _of(kind: int) -> Column:
@@ -210,6 +232,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         _of(2).alias("n_hex"),
         F.sha2(_joined(F.col("rules")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("rules", "added"))).alias("spans"),
+        (F.size("live_rules") + F.size("added")).cast("long").alias("n_live"),
     )
 
 
