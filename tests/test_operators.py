@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import datetime
 
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 
 from weft.functions import similarity as sim
 from weft.functions import text
-from weft.operators import components, graph, links, louvain, pagerank
+from weft.operators import components, graph, links, louvain, pagerank, views
 from weft.operators import contradictions as conflicts
+from weft.plans import session
 from weft.plans.pipeline import run_pipeline
 from weft.sources import extract, ontology, store
 from weft.sources.schemas import NOTES
@@ -244,6 +246,64 @@ def test_stream(spark, tmp_path):
     assert {r.subject_text for r in s.get_all_triples().collect()} == {"Eve", "Bob"}
 
 
+def test_stream_order_and_errors(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    s.init()
+    schema = "note_id string, title string, content string, last_edited timestamp"
+    rows = [(f"n{i}", "t", f"Ann{i} owns the cart. Bob{i} uses a saw. Eve{i} owns a hat.", T0) for i in range(5)] + [("bad", "t", "x", T0)]
+
+    def extractor(note, content):
+        if note == "bad":
+            raise RuntimeError("no answer")
+        return extract.rule_extractor(note, content)
+
+    incremental.apply_batch(s, spark.createDataFrame(rows, schema), extractor)
+    found = s.read("raw_triples").orderBy("seq").collect()
+    assert [r.triple_id for r in found] == [f"n{i}-x{k}" for i in range(5) for k in range(3)]
+    assert len({r.seq for r in found}) == 15
+    assert {r.note_id: r.extraction_status for r in s.get_notes().collect()} == {"bad": "error"} | {f"n{i}": "done" for i in range(5)}
+    assert s.vacuum("notes") >= 1 and s.get_notes().count() == 6
+
+
+def test_session(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    notes, facts, own = session.load(spark, s)
+    assert not own and (notes.count(), facts.count()) == (8, 26)
+    s.init()
+    assert not session.load(spark, s)[2] and s.get_graph()["stats"]["edges"] == 0 and len(s.get_graph()["stats"]) == 7
+    one = session.Session(notes, facts)
+    before = one.result.stats()
+    assert one.add_note("u1", " ", "  ", T0) == "no content" and one.add_note("u1", " ", "Zoe owns the kiln. ", T0) is None
+    after = one.result.stats()
+    assert (after["notes"], after["triples"], after["edges"]) == (9, 27, before["edges"] + 1)
+    new = one.notes.where("note_id = 'u1'").first()
+    assert (new.title, new.content, new.extraction_status) == ("Untitled note", "Zoe owns the kiln.", "done")
+    for n in notes.collect():
+        s.upsert_note(n.note_id, n.title, n.content, n.last_edited)
+    result = session.run_store(s)
+    n_facts = result.stats()["triples"]  # full stops inside names hide three from the rules
+    assert n_facts == 23 and s.get_notes("done").count() == 8
+    graph = s.get_graph()
+    assert graph["stats"]["edges"] == n_facts and graph["built_at"] and len(graph["stats"]["central_entities"]) == 10
+    assert session.load(spark, s)[2] and s.get_canonical_map().count() > 10
+    session.run_store(s, mode="full")
+    assert s.read("raw_triples").count() == n_facts
+    n, t = session.backend_view(spark.createDataFrame([("n9", "t", "c", None, None, "done")], NOTES), facts)
+    assert n.first().lastEdited == "n9" and t.columns[0] == "id" and t.count() == 26
+    cards = views.cluster_cards(result.clusters)
+    assert cards.agg(F.sum("n_members")).first()[0] == result.graph.nodes.count()
+    assert views.legend(result.clusters).count() == min(5, cards.count())
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(links, "HUB", 7)
+    rows = [("hub", f"v{i}") for i in range(40)] + [("other", f"v{i}") for i in range(0, 40, 3)]
+    edges = graph.build_edges(facts(spark, [(a, "uses", b) for a, b in rows]))
+    got = {(*sorted((r.a, r.b)), r.score) for r in links.predict_links(edges, top=None).collect()}
+    some = [f"v{i}" for i in range(0, 40, 3)]
+    assert got == {(*sorted(p), 2) for p in itertools.combinations(some, 2)} | {("hub", "other", len(some))}
+
+
 def test_text(spark):
     c = lambda x: F.lit(x)
     row = spark.range(1).select(

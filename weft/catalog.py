@@ -86,20 +86,20 @@ def notes_by_status(spark, d):
     return rows.select("note_id", "title", "extraction_status", F.unix_timestamp("last_edited").alias("edited"), F.length("content").cast("long").alias("n_content"))
 
 
-_NEW_NOTES = """SELECT 'doc-' || doc_id AS note_id, 'again' AS title, lang AS content,
+_NEW_NOTES = """SELECT 'doc-' || doc_id AS note_id, 'again' AS title, coalesce(text, '') || lang AS content,
   CASE WHEN doc_id % 5 <> 0 THEN 1700000000 + doc_id * 60 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 9 END END AS edited
-  FROM (SELECT CASE WHEN doc_id % 10 = 3 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, lang FROM documents WHERE doc_id % 4 = 3 OR doc_id % 4 = 0)"""
+  FROM (SELECT CASE WHEN doc_id % 10 = 3 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, text, lang FROM documents)"""
 
 
 def _new_notes(spark, d):
-    docs = T.table(spark, d, "documents").where("doc_id % 4 = 3 OR doc_id % 4 = 0")
-    docs = docs.select(F.when(F.col("doc_id") % 10 == 3, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), "lang")
+    docs = T.table(spark, d, "documents")
+    docs = docs.select("text", F.when(F.col("doc_id") % 10 == 3, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), "lang")
     later = F.when(F.col("doc_id") % 2 == 0, 0).otherwise(9)
     edited = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60 + later)
     return docs.select(
         F.concat(F.lit("doc-"), "doc_id").alias("note_id"),
         F.lit("again").alias("title"),
-        F.col("lang").alias("content"),
+        F.concat(F.coalesce("text", F.lit("")), "lang").alias("content"),
         F.when(F.col("doc_id") % 5 != 0, edited).alias("last_edited"),
     )
 
@@ -251,7 +251,7 @@ _MENTIONS = f"""WITH f AS ({T.PART_MENTIONS}), m AS (
   SELECT mention, min(place) AS first_seen, count(*) AS n FROM (
     SELECT subject_text AS mention, 2 * seq AS place FROM f UNION ALL SELECT object_text, 2 * seq + 1 FROM f) GROUP BY 1)"""
 # Jaro-Winkler in SQL halves odd transpositions down, which these names do not have.
-_PAIRS = f"""{_MENTIONS}, names AS (SELECT * FROM m WHERE mention NOT LIKE 'Brand%'), p AS (
+_PAIRS = f"""{_MENTIONS}, names AS (SELECT * FROM m), p AS (
   SELECT a.mention AS a, b.mention AS b, a.first_seen AS sa, b.first_seen AS sb FROM names a JOIN names b
     ON substr(lower(a.mention), 1, 2) = substr(lower(b.mention), 1, 2) AND a.first_seen < b.first_seen),
 tok AS (SELECT mention, list_filter(string_split_regex(regexp_replace(lower(mention), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'),
@@ -259,16 +259,17 @@ tok AS (SELECT mention, list_filter(string_split_regex(regexp_replace(lower(ment
 v AS (SELECT a, b, sa, sb, jaro_winkler_similarity(lower(a), lower(b)) AS jw, ta.t AS ta, tb.t AS tb,
     array_to_string(list_transform(ta.t, lambda x: x[1]), '') AS ca, array_to_string(list_transform(tb.t, lambda x: x[1]), '') AS cb
   FROM p JOIN tok ta ON ta.mention = a JOIN tok tb ON tb.mention = b),
-verdict AS (SELECT a, b, sa, sb, CASE WHEN jw > 0.9 THEN 'jaro-winkler'
+verdict AS (SELECT a, b, sa, sb, jw, CASE WHEN jw > 0.9 THEN 'jaro-winkler'
     WHEN len(ta) > 0 AND len(tb) > 0 AND (list_has_all(tb, ta) OR list_has_all(ta, tb)) THEN 'token-subset'
     WHEN length(ca) >= 2 AND ca = cb THEN 'acronym' ELSE 'none' END AS method,
   CASE WHEN len(ta) > 0 AND len(tb) > 0 AND (list_has_all(tb, ta) OR list_has_all(ta, tb)) THEN
     least(0.85 + 0.1 * len(list_filter(ta, lambda x: list_contains(tb, x))) / greatest(len(list_distinct(ta)), len(list_distinct(tb))), 0.99) END AS subset
-  FROM v)"""
+  FROM v), scored AS (SELECT *, CASE method WHEN 'jaro-winkler' THEN jw WHEN 'token-subset' THEN subset WHEN 'acronym' THEN 0.86 ELSE jw END AS score
+  FROM verdict)"""
 
 
 def _names(spark, d):
-    return resolve.mentions(T.part_mentions(spark, d)).where("mention NOT LIKE 'Brand%'")
+    return resolve.mentions(T.part_mentions(spark, d))
 
 
 @query(f"{_MENTIONS} SELECT mention, first_seen, n FROM m")
@@ -295,12 +296,16 @@ def acronym_pairs(spark, d):
     return pairs.where((F.length(ac) >= 2) & (ac == similarity.acronym(F.col("mention_b"))))
 
 
-@query(f"{_PAIRS} SELECT a AS mention_a, b AS mention_b, method, method <> 'none' AS same FROM verdict")
+# The score of a pair that is not the same is left out: DuckDB adds the common prefix only above a Jaro of 0.7.
+@query(
+    f"""{_PAIRS} SELECT a AS mention_a, b AS mention_b, method, method <> 'none' AS same,
+  CASE WHEN method <> 'none' THEN round(score, 9) END AS score FROM scored"""
+)
 def similarity_verdicts(spark, d):
-    return resolve.verdicts(resolve.blocking_pairs(_names(spark, d))).select("mention_a", "mention_b", "method", "same")
+    pairs = resolve.verdicts(resolve.blocking_pairs(_names(spark, d)))
+    return pairs.select("mention_a", "mention_b", "method", "same", F.when(F.col("same"), F.round("score", 9)).alias("score"))
 
 
-# Brands have one digit pair each and fall into one cluster; the SQL resolves the names.
 _CLUSTERED = _PAIRS.replace("WITH f", "WITH RECURSIVE f", 1) + """, e AS (
   SELECT sa AS u, sb AS v FROM verdict WHERE method <> 'none' UNION ALL SELECT sb, sa FROM verdict WHERE method <> 'none'),
 reach(u, v) AS (SELECT first_seen, first_seen FROM names UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v),
@@ -311,23 +316,36 @@ best AS (SELECT root, arg_max(mention, (n, length(mention), -first_seen)) AS can
 
 
 def _resolved(spark, d):
-    return resolve.resolve(T.part_mentions(spark, d).withColumn("object_text", F.col("subject_text")))
-
-
-_SELF = _CLUSTERED.replace("'part_of' AS relation, p_brand AS object_text", "'part_of' AS relation, p_name AS object_text")
+    return resolve.resolve(T.part_mentions(spark, d))
 
 
-@query(f"{_SELF} SELECT mention AS mention_text, canonical_name FROM named JOIN best USING (root)")
+@query(f"{_CLUSTERED} SELECT mention AS mention_text, canonical_name FROM named JOIN best USING (root)")
 def resolve_components(spark, d):
     return _resolved(spark, d).canonical_map
 
 
-@query(f"{_SELF} SELECT canonical_name, mentions, n_mentions FROM best")
+@query(f"{_CLUSTERED} SELECT canonical_name, mentions, n_mentions FROM best")
 def resolved_clusters(spark, d):
     rows = resolve.by_size(_resolved(spark, d).clusters)
     return rows.select("canonical_name", F.array_join("all_mentions", "|").alias("mentions"), "n_mentions")
 
 
+@query(
+    f"""{_CLUSTERED} SELECT canonical_name, a, b, method, round(score, 9) AS score
+FROM scored JOIN label ON first_seen = sa JOIN best USING (root) WHERE method <> 'none'"""
+)
+def resolved_merges(spark, d):
+    return _resolved(spark, d).merges.withColumn("score", F.round("score", 9))
+
+
+@query(
+    f"""{_CLUSTERED} SELECT (SELECT count(*) FROM m) AS mentions, count(*) AS canonical_entities, count(*) FILTER (n_mentions > 1) AS merged_clusters
+FROM best"""
+)
+def resolution_counts(spark, d):
+    return resolve.counts(_resolved(spark, d))
+
+
 # Graph and projections.
 
 
@@ -351,6 +369,16 @@ def graph_nodes(spark, d):
     return graphs.build_nodes(_supply(spark, d))
 
 
+@query(
+    f"""{_CLUSTERED} SELECT canonical_name AS id, n_mentions AS mention_count, sum(n)::BIGINT AS degree FROM best JOIN named USING (root)
+GROUP BY ALL"""
+)
+def resolved_nodes(spark, d):
+    facts = T.part_mentions(spark, d)
+    graph = graphs.build_graph(facts, resolve.resolve(facts).canonical_map)
+    return graph.nodes.select("id", "mention_count", "degree")
+
+
 @query(f"WITH f AS ({T.GEO_FACTS}), e AS ({_ENDS}) SELECT id, count(*) AS degree FROM e GROUP BY 1")
 def node_degree(spark, d):
     return graphs.degrees(graphs.build_edges(T.geo_facts(spark, d))).select("id", "degree")
@@ -397,7 +425,7 @@ def predicted_links(spark, d):
 
 
 # PageRank by recursion: a round is a join and window sums over the whole frontier.
-_RANK_ROUNDS = 30
+_RANK_ROUNDS = 100
 _PAGERANK = f"""WITH RECURSIVE f AS ({T.SUPPLY_FACTS}), nodes AS (SELECT id, min(place) AS s FROM ({_ENDS}) GROUP BY 1),
 links AS (SELECT DISTINCT subject_text AS src, object_text AS dst FROM ({_PLAIN})),
 deg AS (SELECT src, count(*) AS out FROM links GROUP BY 1), n AS (SELECT count(*) AS n FROM nodes),
@@ -417,7 +445,6 @@ r(round, id, rank) AS (SELECT 0, id, 1.0::DOUBLE / n FROM nodes, n
 FROM r JOIN nodes USING (id) WHERE round = {_RANK_ROUNDS} ORDER BY 1 LIMIT 10"""
 )
 def pagerank_top(spark, d):
-    """Thirty rounds, so that the recursive SQL stays affordable; the library's default is a hundred."""
     edges = cut(_supply(spark, d))
     graph = graphs.Graph(graphs.build_nodes(edges), edges)
     return pagerank.central_entities(graph, rounds=_RANK_ROUNDS).withColumn("score", F.round("score", 9))

@@ -5,36 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .graph import neighbour_order, neighbours
 
 
+#: Neighbours of a node that one task pairs with all of that node's neighbours.
+HUB = 512
+
+
+def _shared(near: DataFrame) -> DataFrame:
+    """a, b, score: pairs with shared neighbours, a < b; near(u, v) are numbers, in both directions.
+
+    A node of very many neighbours pairs them in parts of HUB, so its square is shared out over many tasks; pairs are
+    summed before they are dealt out."""
+    size = near.groupBy("u").agg((F.count("*") / HUB).cast("int").alias("parts"))
+    sized = near.join(size, "u")
+    left = sized.select("u", F.pmod(F.xxhash64("v"), F.col("parts") + 1).cast("int").alias("part"), F.col("v").alias("a"))
+    right = sized.select("u", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), F.col("v").alias("b"))
+    wedges = left.join(right, ["u", "part"]).where("a < b")
+    return wedges.groupBy("a", "b").agg(F.count("*").alias("score"))
+
+
 def predict_links(edges: DataFrame, top: int | None = 10, least: int = 2) -> DataFrame:
     """rank, a, b, score (shared neighbours), common_neighbors (joined by '|'); a was seen before b.
 
-    Wedges are counted first; the names of shared neighbours are gathered only for the pairs that are returned.
+    Nodes are numbered by where they were first seen, which no two share, so wedges are pairs of numbers. They are
+    counted first; the names of shared neighbours are gathered only for the pairs that are returned.
     """
-    near = neighbours(edges)
-    seen = neighbour_order(edges)
-    ends = near.join(seen.select(F.col("id").alias("v"), "first_seen"), "v").select(
-        F.col("u").alias("mid"), F.col("v").alias("end"), "first_seen"
-    )
-    left = ends.select("mid", F.col("end").alias("a"), F.col("first_seen").alias("a_seen"))
-    right = ends.select("mid", F.col("end").alias("b"), F.col("first_seen").alias("b_seen"))
-    wedges = left.join(right, "mid").where("a_seen < b_seen")
-    pairs = wedges.groupBy("a", "b", "a_seen", "b_seen").agg(F.count("*").alias("score")).where(F.col("score") >= least)
-    pairs = pairs.join(near.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+    names = cut(neighbour_order(edges).select("id", F.col("first_seen").alias("n")))
+    near = neighbours(edges).join(names.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u")
+    near = near.join(names.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
+    near = cut(near.select(F.col("nu").alias("u"), F.col("nv").alias("v")))
+    pairs = _shared(near).where(F.col("score") >= least)
+    linked = near.where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    pairs = pairs.join(linked, ["a", "b"], "left_anti")
+
+    def named(df: DataFrame) -> DataFrame:
+        df = df.join(names.select(F.col("n").alias("a"), F.col("id").alias("a_id")), "a")
+        return df.join(names.select(F.col("n").alias("b"), F.col("id").alias("b_id")), "b")
+
     if top is None:
-        return pairs.select("a", "b", "score")
-    best = pairs.orderBy(F.desc("score"), "a_seen", "b_seen").limit(top)
-    one = F.broadcast(best)  # `top` rows
-    shared = near.select(F.col("u").alias("a"), F.col("v").alias("mid")).join(one.select("a", "b"), "a")
-    shared = shared.join(near.select(F.col("u").alias("b"), F.col("v").alias("mid")), ["b", "mid"])
-    names = shared.groupBy("a", "b").agg(F.array_sort(F.collect_list("mid")).alias("common_neighbors"))
+        return named(pairs).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")
+    best = cut(pairs.orderBy(F.desc("score"), "a", "b").limit(top))
+    one = F.broadcast(best.select("a", "b"))  # `top` rows
+    mids = near.select(F.col("u").alias("a"), F.col("v").alias("mid")).join(one, "a")
+    mids = mids.join(near.select(F.col("u").alias("b"), F.col("v").alias("mid")), ["b", "mid"])
+    mids = mids.join(names.select(F.col("n").alias("mid"), "id"), "mid")
+    shared = mids.groupBy("a", "b").agg(F.array_sort(F.collect_list("id")).alias("common_neighbors"))
     place = F.row_number().over(_order()).cast("long")
-    return best.withColumn("rank", place).join(names, ["a", "b"]).select("rank", "a", "b", "score", "common_neighbors").orderBy("rank")
+    out = named(best.withColumn("rank", place).join(shared, ["a", "b"]))
+    return out.select("rank", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score", "common_neighbors").orderBy("rank")
 
 
 def _order():
     from pyspark.sql import Window
 
-    return Window.orderBy(F.desc("score"), "a_seen", "b_seen")
+    return Window.orderBy(F.desc("score"), "a", "b")

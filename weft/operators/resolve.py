@@ -70,6 +70,13 @@ def resolve(triples: DataFrame) -> Resolution:
     return Resolution(found, merges, mapped.select("mention_text", "canonical_name"), clusters.drop("root"))
 
 
+def counts(found: Resolution) -> DataFrame:
+    """mentions, canonical_entities, merged_clusters (of more than one mention)."""
+    merged = F.count_if(F.col("n_mentions") > 1).alias("merged_clusters")
+    one = found.clusters.agg(F.count("*").alias("canonical_entities"), merged)
+    return found.canonical_map.agg(F.count("*").alias("mentions")).crossJoin(one)  # rows of one
+
+
 def by_size(clusters: DataFrame) -> DataFrame:
     """Merged clusters first, then by name as people sort names."""
     return clusters.orderBy(F.desc("n_mentions"), F.collate("canonical_name", "UNICODE"))

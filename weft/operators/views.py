@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import relation_label, short_date, short_label
+from ..functions.text import counted, relation_label, short_date, short_label
 from .graph import Graph
 
 
@@ -92,6 +92,18 @@ def node_view(graph: Graph, clusters: DataFrame, central: DataFrame) -> DataFram
     )
 
 
+def cluster_cards(clusters: DataFrame) -> DataFrame:
+    """cluster_id, members, n_members of the clusters that have members."""
+    found = clusters.groupBy("cluster_id").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    return found.withColumn("n_members", F.size("members").cast("long")).where("n_members > 0")
+
+
+def legend(clusters: DataFrame, top: int = 5) -> DataFrame:
+    """cluster_id, colour and label (`3 nodes`) of the first clusters."""
+    found = clusters.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy("cluster_id").limit(top)
+    return found.select("cluster_id", (F.col("cluster_id") % 8).cast("long").alias("colour"), counted(F.col("n"), "node").alias("label"))
+
+
 def leaderboard(central: DataFrame) -> DataFrame:
     """Scores with their width against the best."""
     best = F.broadcast(central.agg(F.max("score").alias("best")))

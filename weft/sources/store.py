@@ -6,6 +6,7 @@ moves a pointer, so readers see a whole version or the one before.
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timezone
 
@@ -141,15 +142,32 @@ class Store:
         out = fs.create(draft, True)
         out.write(bytearray(version.encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(draft, at)
-
-    def read(self, table: str) -> DataFrame:
+        # One step: a reader finds the old pointer or the new one.
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(draft, at, how)
+
+    def vacuum(self, table: str) -> int:
+        """Remove the versions that the pointer does not name, once no reader uses them; how many went."""
+        at, fs = self._fs(f"{self.folder}/{table}")
+        current, gone = self._version(table), 0
+        for f in fs.listStatus(at):
+            if f.isDirectory() and f.getPath().getName() != current:
+                gone += fs.delete(f.getPath(), True)
+        return gone
+
+    def _version(self, table: str) -> str:
         at, fs = self._fs(self._pointer(table))
         stream = fs.open(at)
         version = bytes(stream.readAllBytes()).decode()
         stream.close()
-        return self.spark.read.schema(self.TABLES[table]).parquet(f"{self.folder}/{table}/{version}")
+        return version
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.schema(self.TABLES[table]).parquet(f"{self.folder}/{table}/{self._version(table)}")
 
     def get_notes(self, status: str | None = None) -> DataFrame:
         return newest_first(self.read("notes"), status)
@@ -229,6 +247,14 @@ class Store:
     def get_cached_graph(self):
         return self.read("graph_cache").first()
 
+    def get_graph(self) -> dict:
+        """The cached graph with its time and stats; where none is cached, one without nodes."""
+        found = self.get_cached_graph()
+        if found:
+            return {"built_at": found["built_at"], "graph": json.loads(found["graph_json"]), "stats": json.loads(found["stats_json"])}
+        lists = ("central_entities", "concept_clusters", "contradictions", "predicted_links", "entity_clusters")
+        return {"built_at": None, "graph": {"nodes": [], "edges": []}, "stats": {"nodes": 0, "edges": 0} | {k: [] for k in lists}}
+
     def stats(self) -> dict:
         return db_stats(*(self.read(t) for t in ("notes", "raw_triples", "entity_clusters", "graph_cache"))).first().asDict()
 

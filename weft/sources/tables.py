@@ -66,10 +66,10 @@ UNION ALL SELECT n_nationkey * 4, n_name, 'part_of', r_name FROM nation JOIN reg
 
 
 def supply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier uses part (large quantities), part part_of brand, supplier located_in nation.
+    """supplier uses part, part part_of brand, supplier located_in nation.
 
     seq: suppliers' uses by (supplier, part, order, line), then the parts, then the places; ties have equal facts."""
-    line = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    line = table(spark, sf_dir, "lineitem")
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     names = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
     supplier = supplier.join(names, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -90,7 +90,7 @@ def supply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUPPLY_FACTS = """SELECT l_suppkey * 1000000000 + l_partkey * 8 + 1 AS seq, 'supplier-' || l_suppkey AS subject_text,
-  'uses' AS relation, 'part-' || l_partkey AS object_text FROM lineitem WHERE l_quantity >= 49
+  'uses' AS relation, 'part-' || l_partkey AS object_text FROM lineitem
 UNION ALL SELECT 400000000000000000 + p_partkey, 'part-' || p_partkey, 'part_of', p_brand FROM part
 UNION ALL SELECT 800000000000000000 + s_suppkey, 'supplier-' || s_suppkey, 'located_in', n_name
   FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
@@ -109,12 +109,13 @@ EVENT_FACTS = """SELECT event_id AS seq, 'user-' || user_id AS subject_text, 're
 
 
 def part_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part name part_of brand: the workload of entity resolution."""
+    """part name part_of the kind that its first word names: the workload of entity resolution."""
     df = table(spark, sf_dir, "part")
-    return _facts(df, F.col("p_partkey"), F.col("p_name"), "part_of", F.col("p_brand"))
+    return _facts(df, F.col("p_partkey"), F.col("p_name"), "part_of", F.substring_index("p_name", " ", 1))
 
 
-PART_MENTIONS = "SELECT p_partkey AS seq, p_name AS subject_text, 'part_of' AS relation, p_brand AS object_text FROM part"
+PART_MENTIONS = """SELECT p_partkey AS seq, p_name AS subject_text, 'part_of' AS relation,
+  split_part(p_name, ' ', 1) AS object_text FROM part"""
 
 
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
