@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def new_folder(spark: SparkSession) -> str:
     """A new name under spark.checkpoint.dir; only where that is unset (one machine, tests) a temporary folder. What is
     written there is removed when the driver ends."""
@@ -33,7 +37,21 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: lineage stays short, and survives lost executors."""
-    path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read back: lineage stays short, and survives lost executors. The shuffle files
+    that led to it are removed once it is written."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that `cut` returned and that nothing reads any more."""
+    for table in tables:
+        _drop(table.sparkSession, table._weft_path)
