@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import cut as materialize  # noqa: F401
 from ..sources.shared import new_folder as shared_dir  # noqa: F401
+from ..sources.shared import release  # noqa: F401
 
 #: Bytes of text handled together by the numpy kernels; bounds a worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, read, ship, slices
+from .common import fresh, materialize, read, release, ship, slices
 from ..operators.components import components
 
 SHINGLE, SKETCHES, KEPT = 5, 32, 2
@@ -406,11 +406,11 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
     frequent = max(FREQUENT, 6 * int(counts[counts > 0].mean())) if counts.any() else FREQUENT
     counts = seqs.sparkSession.sparkContext.broadcast(counts)
 
-    parts = seqs.count() // 4000 + 1
+    parts = seqs.count() // 8000 + 1
 
     def row(part: int, columns: list[np.ndarray]) -> pa.RecordBatch:
         cells = [pa.array([part], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
-        return pa.record_batch(cells, ["part", "key", "nth", "node", "label", "n", "hot"])
+        return pa.record_batch(cells, ["part", "key", "times", "node", "label", "n", "hot"])
 
     def emit(batches):
         for batch in batches:
@@ -426,23 +426,25 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
                 for i in heavy:
                     columns = [often[i], words[i], *(c[i : i + 1] for c in (node, label, size, hot))]
                     yield row(-1, columns)
-                key, place = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
+                key, place = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
                 part = (key % np.uint64(parts)).astype(np.int64)
+                # 32 bits beside the part: word pairs that fall together only make a pair of texts more to be compared.
+                key = (key // np.uint64(parts)).astype(np.uint32)
                 order = np.argsort(part, kind="stable")
                 key, place = key[order], place[order]
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
                 for k in range(parts):
                     x, y = ends[k], ends[k + 1]
                     if x < y:
-                        some, nth = np.unique(place[x:y], return_inverse=True)
-                        yield row(k, [key[x:y], nth.astype(np.uint16), node[some], label[some], size[some], hot[some]])
+                        some, times = np.unique(place[x:y], return_counts=True)
+                        yield row(k, [key[x:y], times.astype(np.int32), node[some], label[some], size[some], hot[some]])
 
     def meet(batches):
         rows = []
         for batch in batches:
-            for key, nth, *of in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                nth = np.frombuffer(nth, np.uint16)
-                rows.append((np.frombuffer(key, np.uint64), *(np.frombuffer(x, t)[nth] for x, t in zip(of, ("i8", "i8", "i4", "i4")))))
+            for key, times, *of in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                times = np.frombuffer(times, "i4")
+                rows.append((np.frombuffer(key, "u4"), *(np.repeat(np.frombuffer(x, t), times) for x, t in zip(of, ("i8", "i8", "i4", "i4")))))
         if not rows:
             return
         key, node, label, n, hot = (np.concatenate([r[i] for r in rows]) for i in range(5))
@@ -464,7 +466,7 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
         upto = np.cumsum(times)
         common, at = _common(n), 0
         while at < len(times):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, side="right")))
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 2_000_000, side="right")))
             t = times[at:to]
             u = np.repeat(np.arange(at, to), t)
             v = np.repeat(end_label[at:to], t) + np.arange(len(u)) - np.repeat(np.cumsum(t) - t, t)
@@ -483,7 +485,7 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
         named = seqs.select("node", F.col("node").alias("label"), "seq")
     else:
         named = seqs.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "seq")
-    rows = materialize(named.mapInArrow(emit, "part int, key binary, nth binary, node binary, label binary, n binary, hot binary"))
+    rows = materialize(named.mapInArrow(emit, "part int, key binary, times binary, node binary, label binary, n binary, hot binary"))
     rare = rows.where("part >= 0").repartition(parts, "part").mapInArrow(meet, "u long, v long, due long, met long")
     pairs = rare.groupBy("u", "v").agg(F.sum("met").alias("met"), F.min("due").alias("due"))
     return pairs.where("met >= due").select("u", "v"), rows
@@ -496,7 +498,7 @@ def _heavy(rows: DataFrame) -> DataFrame:
     are dealt into blocks by length; each two blocks whose lengths allow it are one task, which counts shared word
     pairs by products of matrices, compares what is left, and returns nothing but links. So no pair leaves a task,
     but the time grows with the square of the number of such texts of about one length."""
-    text = rows.where("part = -1").select("key", F.col("nth").alias("seq"), "node", "label", (F.octet_length("nth") / 4).cast("int").alias("n"))
+    text = rows.where("part = -1").select("key", F.col("times").alias("seq"), "node", "label", (F.octet_length("times") / 4).cast("int").alias("n"))
     count = text.count()
     schema = "u long, v long"
     if count < 2:
@@ -596,7 +598,8 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     entries = materialize(entries.join(shared, "key"))
     seqs = one.select("node", "seq", F.expr("octet_length(seq) div 4").alias("n")).where("n > 0")
-    seqs = materialize(seqs)
+    seqs, ids = materialize(seqs), materialize(rows.select("doc_id", "h"))
+    release(rows)
     labels, tested = None, None
 
     def settle(pairs: DataFrame) -> None:
@@ -631,15 +634,17 @@ def classes(docs: DataFrame) -> DataFrame:
     found = materialize(_mixed(entries.select("key", "node"), labels))
     many = found.where(F.col("n") > SMALL)
     settle(_all_pairs(found.where(F.col("n") <= SMALL)).unionByName(star(many)))
+    release(entries, found)
     pairs, rows_of = _sharing(seqs, labels)
     settle(pairs)
     join_classes(materialize(_heavy(rows_of)))
+    release(rows_of, seqs)
     named = texts.select("h", "node", "rep")
     named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left")
     named = materialize(named.select("h", "rep", F.coalesce("label", "node").alias("label")))
     first = named.groupBy("label").agg(F.coalesce(F.min("rep"), F.xxhash64(F.min("h"))).alias("class_id"))
     named = named.select("h", "label").join(first, "label")
-    return rows.select("doc_id", "h").join(named, "h").select("doc_id", "h", "label", "class_id")
+    return ids.join(named, "h").select("doc_id", "h", "label", "class_id")
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
