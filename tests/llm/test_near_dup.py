@@ -211,3 +211,25 @@ def test_long_passage_of_many_texts(spark, monkeypatch, block):
     rows = [" ".join([*passage, *text(rng, int(n))]) for n in rng.integers(8, 32, 90)]
     rows += [" ".join([*edited(rng, r.split(), 4)]) for r in rows[:15]]
     assert got_classes(spark, rows) == linked(rows) and compared[0] > 60
+
+
+def test_rarest_grams_meet():
+    """Texts that are alike have _common of their rarest grams in common, whatever the counts are."""
+    rng = np.random.default_rng(14)
+    alike = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 70))
+        a = rng.integers(0, int(rng.choice([4, 30, 3000])), n).astype(np.uint32)
+        b = a.tolist()
+        for _ in range(int(rng.integers(0, 2 + n // 5))):
+            at, kind = int(rng.integers(0, len(b) + 1)), rng.integers(0, 3)
+            b[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(0, 3000))]
+        b = np.array(b, np.uint32)
+        if not len(b) or not nd.alike(nd.Bag(a), nd.Bag(b)):
+            continue
+        alike += 1
+        known = np.unique(np.concatenate([nd._grams_of(a), nd._grams_of(b)]))[:: int(rng.integers(1, 4))]
+        times = rng.integers(2, 9, len(known)).astype(np.int32)
+        (x, _), (y, _) = nd._rarest(a, known, times), nd._rarest(b, known, times)
+        assert len(np.intersect1d(x, y)) >= min(nd._common(len(a)), nd._common(len(b)))
+    assert alike > 1000

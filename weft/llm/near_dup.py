@@ -11,10 +11,10 @@ Exact copies are one node throughout. In a bucket all nodes are first compared t
 have one class by then are done. Of the others, those of at most SMALL nodes compare all pairs of different classes.
 
 The buckets only settle most classes cheaply; edits spread over a text, short texts and texts that share frequent
-passages can fail to meet in them. So at last all texts are compared exactly: each is bucketed by its rarest pairs of
-neighbouring words, so many (less than half) that two texts that are alike must have one in twenty of their words as
-such pairs in common, and all of different classes that do and whose lengths allow it are compared. Frequent word pairs
-are no buckets: texts that are mostly such pairs, and could have no others in common, are compared in blocks (_heavy).
+passages can fail to meet in them. So at last all texts are compared exactly: each is bucketed by its rarest grams
+(three neighbouring words), so many (two of three) that two texts that are alike must have one in twenty of their words
+as such grams in common, and all of different classes that do and whose lengths allow it are compared. Grams that many
+classes hold are no buckets: texts that could have no others in common are compared in blocks (_heavy).
 """
 
 from __future__ import annotations
@@ -35,11 +35,12 @@ SHINGLE, SKETCHES, KEPT = 5, 32, 2
 FIRST = 6
 #: Nodes up to which a bucket compares all pairs.
 SMALL = 12
-#: Bits of the hash by which word pairs are counted.
-COUNTED = 20
-#: Count in the sample above which a word pair is frequent (six times the mean, if that is more), and texts of a block
-#: of those that share frequent word pairs alone.
-FREQUENT, HEAVY = 48, 500
+#: Words of a gram.
+GRAM = 3
+#: Classes above which a gram is frequent, and texts of a block of those that share frequent grams alone.
+FREQUENT, HEAVY = 256, 500
+#: Least count of a frequent gram in the sample of classes that is counted; grams whose counts go to all tasks (12 MB).
+SAMPLED, KNOWN = 16, 1 << 20
 #: Two texts of n and m words are near-duplicates if EDITS * edits <= max(n, m).
 EDITS = 5
 #: Pairs that a block of comparisons holds about, and bytes of the texts of its rows or columns.
@@ -335,22 +336,41 @@ def _all_pairs(found: DataFrame) -> DataFrame:
     return first.select(F.col("x.node").alias("u"), F.explode(later).alias("y")).select("u", F.col("y.node").alias("v"))
 
 
-def _pairs_of(words: np.ndarray) -> np.ndarray:
-    """uint64 of each two neighbouring words (the word itself if it is the only one); the second occurrence of two
-    words is another one."""
-    w = words.astype(np.uint64)
-    pair = _scramble(w[:-1] * np.uint64(65599) + w[1:] + np.uint64(1)) if len(w) > 1 else _scramble(w + np.uint64(1))
-    order = np.argsort(pair, kind="stable")
-    same = pair[order]
+def _nth(grams: np.ndarray) -> np.ndarray:
+    """The second occurrence of a gram is another one."""
+    order = np.argsort(grams, kind="stable")
+    same = grams[order]
     first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-    nth = np.empty(len(pair), np.uint64)
-    nth[order] = (np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))).astype(np.uint64)
-    return _scramble(pair + nth * np.uint64(0xD6E8FEB86659FD93))
+    nth = np.empty(len(grams), np.uint64)
+    nth[order] = (np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))).astype(np.uint64)
+    return _scramble(grams + nth * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _hash(words: np.ndarray, size: int) -> np.ndarray:
+    """uint64 of each `size` neighbouring words."""
+    w, m = words.astype(np.uint64), len(words) - size + 1
+    out = np.full(m, size, np.uint64)
+    for k in range(size):
+        out = _scramble(out * np.uint64(65599) + w[k : k + m] + np.uint64(1))
+    return out
+
+
+def _grams_of(words: np.ndarray) -> np.ndarray:
+    """uint64 of each GRAM neighbouring words, or of a shorter text.
+
+    Of five words one may differ, and then no gram need be the same: texts of four and five words have all that is left
+    of them without one word, or the four words, as grams too."""
+    n = len(words)
+    grams = _nth(_hash(words, min(GRAM, n)))
+    if n not in (EDITS - 1, EDITS):
+        return grams
+    left = [words] if n < EDITS else [np.delete(words, i) for i in range(n)]
+    return np.concatenate([grams, np.unique(np.concatenate([_hash(x, EDITS - 1) for x in left]))])
 
 
 def _needed(n):
-    """Word pairs that a text of n words shares at least with one not longer that is alike: an edit changes two."""
-    return n - 1 - 2 * (n // EDITS)
+    """Grams that a text of n words shares at least with one not longer that is alike: an edit changes GRAM of them."""
+    return np.maximum(1, n - (GRAM - 1) - GRAM * (n // EDITS))
 
 
 def _least(n):
@@ -359,54 +379,68 @@ def _least(n):
 
 
 def _common(n):
-    """Rarest word pairs that a text of n words has in common with one that is alike, if that has as many or more."""
+    """Rarest grams that a text of n words has in common with one that is alike, if that has as many or more."""
     return 1 + np.maximum(0, np.minimum(_least(n) - 1, n // 20))
 
 
-def _rarest(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest word pairs of a text (uint64), so many that texts that are alike have _common of them in common, and
-    how often each counts.
+def _rarest(words: np.ndarray, known: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest grams of a text (uint64), so many that texts that are alike have _common of them in common, and how
+    often each counts. known are the grams with counts, in order; others count 0.
+
+    They share _needed(longer) at least, so all but _common - 1 of these cannot be beyond the first n - (GRAM - 1) -
+    _needed + _common in any one order that all texts follow. Texts of up to five words give all their grams."""
+    found, n = _grams_of(words), len(words)
+    often = np.zeros(len(found), np.int32)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        often = np.where(known[at] == found, times[at], 0)
+    most = len(found) if n <= EDITS else max(1, n - (GRAM - 1) - int(_least(n)) + int(_common(n)))
+    order = np.lexsort((found, often))[:most]
+    return found[order], often[order]
 
-    They share _needed(longer) at least, so all but _common - 1 of these cannot be beyond the first n - 1 - _needed +
-    _common in any one order that all texts follow."""
-    found, n = _pairs_of(words), len(words)
-    times = counts[(found >> np.uint64(64 - COUNTED)).astype(np.int64)]
-    order = np.lexsort((found, times))[: max(1, n - 1 - int(_least(n)) + int(_common(n)))]
-    return found[order], times[order]
 
+def _counts(named: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent grams in a sample of one text a class (a fixed share of all, so that a gram's count follows the
+    corpus), their counts, and the count above which they are frequent. At most KNOWN grams, those of largest counts.
 
-def _counts(seqs: DataFrame) -> np.ndarray:
-    """How often hashed word pairs occur in some texts. This only orders word pairs: any counts give the same links."""
+    Any grams and counts give the same links: they decide the order of grams and which are no buckets, for all texts
+    alike. A class counts once since its members are not compared to one another, however many share a gram."""
+    every = max(1, FREQUENT // SAMPLED)
 
     def run(batches):
-        total, found = np.zeros(1 << COUNTED, np.int64), []
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                found.append((_pairs_of(np.frombuffer(x, "<u4")) >> np.uint64(64 - COUNTED)).astype(np.int64))
-                if len(found) >= 2048:
-                    total += np.bincount(np.concatenate(found), minlength=1 << COUNTED)
-                    found = []
-        if found:
-            total += np.bincount(np.concatenate(found), minlength=1 << COUNTED)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    every = max(1, seqs.count() // 16384)
-    some = seqs.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("seq").mapInArrow(run, "at long, n long")
-    found = some.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << COUNTED, np.int32)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return out
+            for at in range(0, batch.num_rows, 2048):
+                found = [_grams_of(np.frombuffer(x, "<u4")) for x in batch.column(0).slice(at, 2048).to_pylist()]
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
+
+    some = named.where((F.col("node") == F.col("label")) & (F.pmod(F.xxhash64("node"), F.lit(every)) == 0))
+    counted = some.select("seq").mapInArrow(run, "gram long, n int").groupBy("gram").agg(F.sum("n").cast("int").alias("n"))
+    counted = materialize(counted.where("n > 1"))
+    least, total = 2, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator():
+        total += r["c"]
+        if total > KNOWN:
+            least = r["n"] + 1
+            break
+    found = counted.where(F.col("n") >= least).toArrow()
+    release(counted)
+    gram, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(gram)
+    return gram[order], n[order], FREQUENT // every
 
 
 def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(u, v): all pairs of texts of different classes that can be alike by their lengths and rarest word pairs, but for
-    those that share frequent word pairs alone; and the rows of `emit`, among them the texts for _heavy."""
-    counts = _counts(seqs)
-    frequent = max(FREQUENT, 6 * int(counts[counts > 0].mean())) if counts.any() else FREQUENT
-    counts = seqs.sparkSession.sparkContext.broadcast(counts)
+    """(u, v): all pairs of texts of different classes that can be alike by their lengths and rarest grams, but for
+    those that share frequent grams alone; and the rows of `emit`, among them the texts for _heavy."""
+    if labels is None:
+        named = seqs.select("node", F.col("node").alias("label"), "seq")
+    else:
+        named = seqs.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "seq")
+    *known, frequent = _counts(named)
+    known = seqs.sparkSession.sparkContext.broadcast(known)
 
-    parts = seqs.count() // 8000 + 1
+    parts = seqs.count() // 6000 + 1
 
     def row(part: int, columns: list[np.ndarray]) -> pa.RecordBatch:
         cells = [pa.array([part], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
@@ -418,7 +452,7 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
                 chunk = batch.slice(at, 2048)
                 words = [np.frombuffer(x, "<u4") for x in chunk.column(2).to_pylist()]
                 size = np.array([len(w) for w in words], np.int32)
-                some = [_rarest(w, counts.value) for w in words]
+                some = [_rarest(w, *known.value) for w in words]
                 found, often = [k[t <= frequent] for k, t in some], [k[t > frequent] for k, t in some]
                 hot = np.array([len(k) for k in often], np.int32)
                 node, label = (chunk.column(i).to_numpy().astype(np.int64) for i in (0, 1))
@@ -428,7 +462,7 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
                     yield row(-1, columns)
                 key, place = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
                 part = (key % np.uint64(parts)).astype(np.int64)
-                # 32 bits beside the part: word pairs that fall together only make a pair of texts more to be compared.
+                # 32 bits beside the part: grams that fall together only make a pair of texts more to be compared.
                 key = (key // np.uint64(parts)).astype(np.uint32)
                 order = np.argsort(part, kind="stable")
                 key, place = key[order], place[order]
@@ -481,10 +515,6 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
             yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in (*pairs[:, start], met))], ["u", "v", "due", "met"])
             at = to
 
-    if labels is None:
-        named = seqs.select("node", F.col("node").alias("label"), "seq")
-    else:
-        named = seqs.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "seq")
     rows = materialize(named.mapInArrow(emit, "part int, key binary, times binary, node binary, label binary, n binary, hot binary"))
     rare = rows.where("part >= 0").repartition(parts, "part").mapInArrow(meet, "u long, v long, due long, met long")
     pairs = rare.groupBy("u", "v").agg(F.sum("met").alias("met"), F.min("due").alias("due"))
@@ -492,11 +522,11 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
 
 
 def _heavy(rows: DataFrame) -> DataFrame:
-    """(u, v): the links between texts of different classes that have no rare word pair in common.
+    """(u, v): the links between texts of different classes that have no rare gram in common.
 
-    Such texts consist mostly of frequent word pairs (passages that many hold) and share _common of them at least. They
-    are dealt into blocks by length; each two blocks whose lengths allow it are one task, which counts shared word
-    pairs by products of matrices, compares what is left, and returns nothing but links. So no pair leaves a task,
+    Such texts hold many frequent grams (passages that many classes hold) and share _common of them at least. They
+    are dealt into blocks by length; each two blocks whose lengths allow it are one task, which counts shared
+    grams by products of matrices, compares what is left, and returns nothing but links. So no pair leaves a task,
     but the time grows with the square of the number of such texts of about one length."""
     text = rows.where("part = -1").select("key", F.col("times").alias("seq"), "node", "label", (F.octet_length("times") / 4).cast("int").alias("n"))
     count = text.count()
@@ -546,7 +576,7 @@ def _heavy(rows: DataFrame) -> DataFrame:
         met = np.zeros((len(a), len(b)), np.float32)
         in_a, in_b = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         in_a[a], in_b[b] = True, True
-        both = np.bincount(at, minlength=len(known))[at] > 1  # a word pair of one text is no one else's
+        both = np.bincount(at, minlength=len(known))[at] > 1  # a gram of one text is no one else's
         known, at = np.unique(at[both], return_inverse=True)
         owner = owner[both]
         for first in range(0, len(known), 4096):
