@@ -7,6 +7,7 @@ import io
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import cut as materialize  # noqa: F401
 from ..sources.shared import new_folder as shared_dir  # noqa: F401
-from ..sources.shared import release  # noqa: F401
+from ..sources.shared import _CLEANUP, release  # noqa: F401
 
 #: Bytes of text handled together by the numpy kernels; bounds a worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
@@ -27,6 +28,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df written to the shared folder in n buckets of a column and read back: joins on that column deal out the other
+    side alone. To be given back by `release` and `forget`."""
+    spark, path, name = df.sparkSession, shared_dir(df.sparkSession), f"weft_{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        out = df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("compression", "zstd")
+        out.saveAsTable(name, format="parquet", path=path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+    out = spark.table(name)
+    out._weft_path, out._weft_table = path, name
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Take a table that `bucketed` returned out of the catalog."""
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._weft_table}")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's modules, once for each SparkContext."""
     sc = spark.sparkContext

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, read, release, ship, slices
+from .common import bucketed, forget, fresh, materialize, read, release, ship, slices
 from ..operators.components import components
 
 SHINGLE, SKETCHES, KEPT = 5, 32, 2
@@ -45,6 +45,8 @@ SAMPLED, KNOWN = 16, 1 << 20
 EDITS = 5
 #: Pairs that a block of comparisons holds about, and bytes of the texts of its rows or columns.
 BLOCK_PAIRS, BLOCK_BYTES = 10_000, 24 << 20
+#: Texts of a bucket of the table of all texts, and the most buckets that Spark allows.
+BUCKET, BUCKETS = 6000, 100_000
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -252,7 +254,7 @@ def alike(x: Bag, y: Bag) -> bool:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, seq, keys) of every row: md5 of the text, 16 bits a word, bucket keys."""
+    """(node, doc_id, h, n, seq, keys) of every row: number, md5 of the text, words, 32 bits a word, bucket keys."""
 
     def run(batches):
         for batch in batches:
@@ -262,17 +264,18 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 keys = [sketch(w) for w in words]
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))
-                columns = [*part.columns[:3], pa.array(seq, pa.binary()), lists]
-                yield pa.record_batch(columns, ["row", "doc_id", "h", "seq", "keys"])
+                n = pa.array([len(w) for w in words], pa.int32())
+                columns = [*part.columns[:3], n, pa.array(seq, pa.binary()), lists]
+                yield pa.record_batch(columns, ["node", "doc_id", "h", "n", "seq", "keys"])
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.monotonically_increasing_id().alias("node"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.md5(text.cast("binary"))).alias("h"),
         text.alias("text"),
     )
-    return rows.mapInArrow(run, "row long, doc_id long, h binary, seq binary, keys array<long>")
+    return rows.mapInArrow(run, "node long, doc_id long, h binary, n int, seq binary, keys array<long>")
 
 
 def _verify(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -619,17 +622,16 @@ def classes(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = materialize(_sketches(docs))
-    texts = rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"))
-    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()))
-    one = rows.select("row", "seq", "keys").join(texts.select("row", "node"), "row")
+    # In buckets by node, so that no join on nodes moves the words of texts.
+    rows = bucketed(_sketches(docs), "node", min(BUCKETS, max(8, docs.count() // BUCKET)))
+    # Of equal texts one row, the node, stands for all.
+    texts = materialize(rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node")))
     # The place of a sketch among the keys is part of its key, so buckets of different sketches stay apart.
-    entries = one.select("node", F.posexplode("keys").alias("sketch", "key")).distinct()
+    entries = rows.select("node", "keys").join(texts.select("node"), "node").select("node", F.posexplode("keys").alias("sketch", "key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     entries = materialize(entries.join(shared, "key"))
-    seqs = one.select("node", "seq", F.expr("octet_length(seq) div 4").alias("n")).where("n > 0")
-    seqs, ids = materialize(seqs), materialize(rows.select("doc_id", "h"))
-    release(rows)
+    seqs = rows.select("node", "seq", "n").where("n > 0").join(texts.select("node"), "node")
+    ids = materialize(rows.select("doc_id", "h"))
     labels, tested = None, None
 
     def settle(pairs: DataFrame) -> None:
@@ -668,7 +670,8 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs, rows_of = _sharing(seqs, labels)
     settle(pairs)
     join_classes(materialize(_heavy(rows_of)))
-    release(rows_of, seqs)
+    release(rows_of, rows)
+    forget(rows)
     named = texts.select("h", "node", "rep")
     named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left")
     named = materialize(named.select("h", "rep", F.coalesce("label", "node").alias("label")))
