@@ -304,6 +304,36 @@ def test_hubs(spark, monkeypatch):
     assert got == {(*sorted(p), 2) for p in itertools.combinations(some, 2)} | {("hub", "other", len(some))}
 
 
+@pytest.mark.parametrize("wedges", [40, 10**6])
+def test_links_of_squares(spark, monkeypatch, wedges):
+    for name, value in (("HUB", 12), ("CLASS", 250), ("WEDGES", wedges)):
+        monkeypatch.setattr(links, name, value, raising=False)
+    rng = random.Random(5)
+    rows = [(f"s{rng.randrange(12)}", f"p{rng.randrange(60)}") for _ in range(260)]
+    rows += [(f"p{i}", f"hub{i % 2}") for i in range(60)] + [(f"p{i}", "hub2") for i in range(0, 60, 4)] + [("s1", "s1"), (None, "p1")]
+    edges = graph.build_edges(facts(spark, [(a, "uses", b) for a, b in rows]))
+    near, seen = {}, {}
+    for a, b in rows:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+            seen.setdefault(a, len(seen))
+            seen.setdefault(b, len(seen))
+    want = {}
+    for a, b in itertools.combinations(sorted(seen, key=seen.get), 2):
+        if b not in near[a] and len(near[a] & near[b]) >= 2:
+            want[a, b] = sorted(near[a] & near[b])
+    found = links.predict_links(edges, top=None)
+    got = [(r.a, r.b, r.score) for r in found.collect()]
+    assert len(got) == len(want) > 500 and {(a, b): n for a, b, n in got} == {p: len(c) for p, c in want.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # wedges stay within a task
+    best = sorted(want, key=lambda p: (-len(want[p]), seen[p[0]], seen[p[1]]))[:10]
+    got = [(r.rank, r.a, r.b, r.score, r.common_neighbors) for r in links.predict_links(edges).collect()]
+    assert got == [(i + 1, *p, len(want[p]), want[p]) for i, p in enumerate(best)]
+    assert links.predict_links(edges.where("seq < 0")).count() == 0 == links.predict_links(edges.where("seq < 0"), top=None).count()
+
+
 def test_text(spark):
     c = lambda x: F.lit(x)
     row = spark.range(1).select(

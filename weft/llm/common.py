@@ -1,14 +1,8 @@
-"""Helpers shared by the training-data operators: materialisation, code shipping, batch slicing."""
+"""Helpers shared by the training-data operators: materialisation, batch slicing."""
 
 from __future__ import annotations
 
-import atexit
-import io
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import cut as materialize  # noqa: F401
 from ..sources.shared import new_folder as shared_dir  # noqa: F401
-from ..sources.shared import _CLEANUP, release  # noqa: F401
+from ..sources.shared import _CLEANUP, release, ship  # noqa: F401
 
 #: Bytes of text handled together by the numpy kernels; bounds a worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
@@ -49,28 +43,6 @@ def forget(table: DataFrame) -> None:
     table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._weft_table}")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package's modules, once for each SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_weft_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    tmp = tempfile.mkdtemp(prefix="weft-modules-")  # the driver's copy; Spark's file server hands it to executors
-    atexit.register(shutil.rmtree, tmp, True)
-    path = os.path.join(tmp, "weft_modules.zip")
-    with open(path, "wb") as f:
-        f.write(buffer.getvalue())
-    sc.addPyFile(path)
-    sc._weft_shipped = True
-
-
 def fresh(columns: list[str], name: str) -> str:
     """A name for a further column, which none of these has."""
     taken = {c.lower() for c in columns}
