@@ -76,6 +76,22 @@ def test_judge(spark):
     assert np.mean([v == (d % 4 != 3) for d, v in verdicts.items()]) > 0.97
 
 
+def test_all_labels_by_broadcast_or_join(spark, monkeypatch):
+    many = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
+    assert quality._labelled(many, quality.SAMPLE).count() == 20_000
+    # Of 20,000 rows, one text a word; each word of a fitting row is in the target.
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 2 = 1, 'good', 'bad') || repeat(' x', 25) AS text")
+    docs = docs.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, 'null id' AS text"))
+    ratio, least = quality.fit(docs, many)
+    good = zlib.crc32(b"good") * 0x9E3779B97F4A7C15 % (1 << 64) >> 48
+    fits = quality._labelled(many, quality.SAMPLE).where("role = 1").count()
+    target, raw = fits * (26 + 25) + quality.BUCKETS, 20_000 * (26 + 25) + 2 + 1 + quality.BUCKETS
+    assert abs(ratio[good] - (math.log((fits + 1) / target) - math.log(10_001 / raw))) < 1e-9
+    monkeypatch.setattr(quality, "BROADCAST", 0)
+    again, edge = quality.fit(docs, many)
+    assert (again == ratio).all() and edge == least
+
+
 def test_no_labels_keeps_all_and_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "doc_id long, text string")

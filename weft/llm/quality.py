@@ -3,9 +3,9 @@
 Tokens are runs of letters and digits, or single other characters; features are token unigrams and bigrams hashed into
 BUCKETS. Two multinomials with add-one smoothing, of the trusted target and of the raw corpus, give each bucket a
 log-likelihood ratio; a document's score is the mean over its features, so length does not matter. The raw multinomial
-counts all documents. The target is fitted on half of a bounded sample of labelled rows (SAMPLE of them, by hash of the
-id), and the threshold is set on the other half, where rejecting a trusted row costs COST times as much as keeping a
-bad one. Then every document is scored.
+counts all documents. The target is fitted on half of the trusted labelled rows (by hash of the id), and the threshold
+is set on the other half and all bad ones, where rejecting a trusted row costs COST times as much as keeping a bad one.
+All labelled rows take part. Then every document is scored.
 
 The model is BUCKETS numbers whatever the corpus; counts are added up in each task and by bucket.
 """
@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship, slices
+from .common import materialize, read, release, ship, slices
 
 BUCKETS = 1 << 16
-#: Labelled rows used to fit the target and set the threshold.
-SAMPLE = 16_384
+#: Labelled rows used to fit the target and set the threshold; None: all.
+SAMPLE = None
+#: Labelled rows whose roles go to all tasks; more than these meet the documents in a join.
+BROADCAST = 1 << 20
 COST = 10.0
 #: Width of the score bins among which the threshold is sought.
 BIN = 0.002
@@ -146,20 +148,24 @@ class Slice:
         return np.bincount(text, ratio[bucket], self.n) / np.maximum(n, 1)
 
 
-def _labelled(labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, role): 1 fits the target, 2 trusted and 3 bad set the threshold. At most `sample` rows."""
+def _labelled(labels: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
+    """(doc_id, role): 1 fits the target, 2 trusted and 3 bad set the threshold. All rows, or `sample` of them."""
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
     one = one.agg(F.min("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
     one = one.where((F.col("quality") == 0) | ((F.col("quality") == 1) & (F.col("toxic") == 0)))
     h = F.xxhash64("doc_id")
     role = F.when(F.col("quality") == 0, 3).when(h.bitwiseAND(1) == 0, 1).otherwise(2)
-    return one.orderBy(h, "doc_id").limit(sample).select("doc_id", role.alias("role"))
+    if sample is not None:
+        one = one.orderBy(h, "doc_id").limit(sample)
+    return one.select("doc_id", role.alias("role"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int | None = SAMPLE) -> tuple[np.ndarray, float]:
     """(log-likelihood ratio of each bucket, threshold). Without labelled rows of both kinds nothing is rejected."""
     ship(docs.sparkSession)
-    chosen = F.broadcast(_labelled(labels, sample))  # at most `sample` rows
+    written = materialize(_labelled(labels, sample))
+    few = written.count() <= BROADCAST
+    chosen = F.broadcast(written) if few else written  # at most BROADCAST rows
 
     def count(batches):
         got = np.zeros((2, BUCKETS), np.int64)
@@ -175,7 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             at = np.flatnonzero(got[kind])
             yield pa.record_batch([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(got[kind][at])], ["k", "b", "n"])
 
-    marked = docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("text", "role")
+    texts = docs.select("doc_id", "text")
+    marked = (texts if few else texts.where("doc_id IS NOT NULL")).join(chosen, "doc_id", "left").select("text", "role")
+    if not few:  # rows without an id would all be one key
+        marked = marked.unionByName(texts.where("doc_id IS NULL").select("text", F.lit(None).cast("int").alias("role")))
     sums = marked.mapInArrow(count, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
     total = np.zeros((2, BUCKETS))
     for r in sums.collect():  # at most 2 * BUCKETS rows
@@ -190,8 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
                 bins = np.floor(s.scores(ratio) / BIN).astype(np.int64)
                 yield pa.record_batch([pa.array(bins[ok]), part.column(1).filter(pa.array(ok))], ["bin", "role"])
 
-    held = docs.select("doc_id", "text").join(chosen.where("role > 1"), "doc_id").select("text", "role")
+    held = texts.join(chosen.where("role > 1"), "doc_id").select("text", "role")
     bins = held.mapInArrow(score, "bin long, role int").groupBy("bin", "role").count().collect()  # bounded by the bins
+    release(written)
     return ratio, threshold({(r["bin"], r["role"]): r["count"] for r in bins})
 
 
@@ -222,7 +232,7 @@ _COLUMNS = (
 )
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
     """docs with the base counts, base_failed, kept and score added; columns of docs with such names are replaced.
 
     docs needs doc_id and text; null text has no words and fails. Repeated rows are each judged; null ids have no
