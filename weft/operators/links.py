@@ -24,7 +24,7 @@ from .graph import neighbour_order
 #: Neighbours above which a node is a hub.
 HUB = 4096
 #: Neighbours of all nodes of a class, about; links of a class below which fewer classes suffice.
-CLASS, LITTLE = 4_000_000, 20_000
+CLASS, LITTLE = 2_500_000, 20_000
 #: Wedges that are counted at once, and bytes of the table of hubs and nodes of a class.
 WEDGES, HUB_BYTES = 1_000_000, 64 << 20
 #: Rows of a batch of results.
@@ -79,18 +79,29 @@ def _read(folder: str, k: int, columns: list[str]) -> pa.Table:
     return out if (first[1:] >= first[:-1]).all() else out.sort_by([(c, "ascending") for c in columns if c != "id"])
 
 
+def _numbers(folder: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """u and v of a class, in numpy's memory."""
+    found = _read(folder, k, ["u", "v"])
+    out = tuple(np.array(c.to_numpy()) for c in found.columns)
+    del found
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 class _Square:
     """Pairs of a node of class i and one of class j, out of `classes` classes of n nodes. wedges: counted at once."""
 
     def __init__(self, near: str, i: int, j: int, classes: int, n: int, hubs: np.ndarray, least: int, wedges: int):
         self.i, self.j, self.classes, self.least, self.wedges = i, j, classes, least, wedges
-        u, self.v = (c.to_numpy() for c in _read(near, i, ["u", "v"]).columns)
-        w, x = (u, self.v) if i == j else (c.to_numpy() for c in _read(near, j, ["u", "v"]).columns)
+        u, self.v = _numbers(near, i)
+        w, x = (u.copy(), self.v) if i == j else _numbers(near, j)
         self.width = (n - j + classes - 1) // classes
         # Of each node, its neighbours of class j.
-        self.lists = (w // classes)[np.argsort(x, kind="stable")]
+        w //= np.int32(classes)
+        self.lists = w[np.argsort(x, kind="stable")]
         self.start = np.zeros(n + 1, np.int64)
         np.cumsum(np.bincount(x, minlength=n), out=self.start[1:])
+        del w, x
         hubs = hubs[: HUB_BYTES // max(1, self.width)]
         self.hub = np.full(n, len(hubs), np.int32)  # the last one is none
         self.hub[hubs] = np.arange(len(hubs))
@@ -102,9 +113,12 @@ class _Square:
         self.row_at = np.append(self.row_at, len(u))
         of = self.hub[self.v]
         light = of == len(hubs)
-        self.degree = np.where(light, self.start[self.v + 1] - self.start[self.v], 0)
-        self.upto = np.append(0, np.cumsum(self.degree))
-        hubs_upto = np.append(0, np.cumsum(~light))
+        self.degree = np.diff(self.start).astype(np.int32)[self.v]
+        self.degree[~light] = 0
+        self.upto = np.zeros(len(u) + 1, np.int64)
+        np.cumsum(self.degree, out=self.upto[1:])
+        hubs_upto = np.zeros(len(u) + 1, np.int32)
+        np.cumsum(~light, out=hubs_upto[1:])
         self.n_hubs = np.diff(hubs_upto[self.row_at])
         self.hubs_of, self.hubs_at = of[~light], hubs_upto[self.row_at]
 
@@ -129,7 +143,7 @@ class _Square:
 
     def _expand(self, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
         """The nodes of class j that the neighbours x to y lead to, and how many each."""
-        d = self.degree[x:y]
+        d = self.degree[x:y].astype(np.int64)
         base = self.start[self.v[x:y]] - (np.cumsum(d) - d)
         return self.lists[np.repeat(base, d) + np.arange(int(d.sum()))], d
 
