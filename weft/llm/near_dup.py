@@ -45,6 +45,8 @@ SAMPLED, KNOWN = 16, 1 << 20
 EDITS = 5
 #: Pairs that a block of comparisons holds about, and bytes of the texts of its rows or columns.
 BLOCK_PAIRS, BLOCK_BYTES = 10_000, 24 << 20
+#: Pairs that a task that lets texts meet holds at once.
+PAIRS = 500_000
 #: Texts of a bucket of the table of all texts, and the most buckets that Spark allows.
 BUCKET, BUCKETS = 6000, 100_000
 
@@ -477,36 +479,48 @@ def _sharing(seqs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
                         yield row(k, [key[x:y], times.astype(np.int32), node[some], label[some], size[some], hot[some]])
 
     def meet(batches):
-        rows = []
+        # Grams with the place of their text, 8 bytes each; what texts have is kept once a text.
+        keys, places, texts, count = [], [], [], 0
         for batch in batches:
             for key, times, *of in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 times = np.frombuffer(times, "i4")
-                rows.append((np.frombuffer(key, "u4"), *(np.repeat(np.frombuffer(x, t), times) for x, t in zip(of, ("i8", "i8", "i4", "i4")))))
-        if not rows:
+                keys.append(np.frombuffer(key, "u4"))
+                places.append(np.repeat(np.arange(count, count + len(times), dtype=np.int32), times))
+                texts.append([np.frombuffer(x, t) for x, t in zip(of, ("i8", "i8", "i4", "i4"))])
+                count += len(times)
+        if not keys:
             return
-        key, node, label, n, hot = (np.concatenate([r[i] for r in rows]) for i in range(5))
-        del rows
+        key, place = np.concatenate(keys), np.concatenate(places)
+        node, label, n, hot = (np.concatenate([t[i] for t in texts]) for i in range(4))
+        del keys, places, texts
         order = np.argsort(key, kind="stable")
         same = key[order]
         more = np.zeros(len(order), bool)  # rows whose key others have
         more[1:] = same[1:] == same[:-1]
         more[:-1] |= more[1:]
         order = order[more]
-        order = order[np.lexsort((node[order], label[order], key[order]))]
-        key, node, label, n, hot = key[order], node[order], label[order], n[order], hot[order]
+        key, place = key[order], place[order]
+        del order, same, more
         if not len(key):
             return
+        rank = np.empty(count, np.int32)  # of texts by label and node
+        rank[np.lexsort((node, label))] = np.arange(count, dtype=np.int32)
+        order = np.lexsort((rank[place], key))
+        key, place = key[order], place[order]
+        del order
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new_label = new_key | np.concatenate([[True], label[1:] != label[:-1]])
-        end_key, end_label = (np.append(np.flatnonzero(x)[1:], len(key))[np.cumsum(x) - 1] for x in (new_key, new_label))
+        new_label = new_key | np.concatenate([[True], label[place[1:]] != label[place[:-1]]])
+        end_key, end_label = (np.append(np.flatnonzero(x)[1:], len(key)).astype(np.int32)[np.cumsum(x) - 1] for x in (new_key, new_label))
+        del key, new_key, new_label
         times = end_key - end_label  # partners of other classes in the same bucket, each pair once
-        upto = np.cumsum(times)
+        del end_key
+        upto = np.cumsum(times, dtype=np.int64)
         common, at = _common(n), 0
         while at < len(times):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 2_000_000, side="right")))
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
             t = times[at:to]
-            u = np.repeat(np.arange(at, to), t)
-            v = np.repeat(end_label[at:to], t) + np.arange(len(u)) - np.repeat(np.cumsum(t) - t, t)
+            u = np.repeat(place[at:to], t)
+            v = place[np.repeat(end_label[at:to] - (np.cumsum(t) - t), t) + np.arange(len(u))]
             longer = np.maximum(n[u], n[v])
             near = longer - np.minimum(n[u], n[v]) <= longer // EDITS
             u, v = u[near], v[near]
